@@ -116,3 +116,22 @@ def chunks_by_size(texts: list, limit: int):
         size += len(t) + 1
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def spanning_forest(linked: np.ndarray, within: bool) -> list[tuple[int, int]]:
+    """(row, column) of enough true cells to connect what all true cells connect.
+
+    Rows and columns are the same items if `within`, else column j is item len(linked) + j.
+    """
+    n, m = linked.shape
+    shift = 0 if within else n
+    tree = np.arange(n if within else n + m)
+    found = []
+    for i in np.flatnonzero(linked.any(1)).tolist():
+        partners = np.flatnonzero(linked[i])
+        trees, at = np.unique(tree[partners + shift], return_index=True)
+        for t, j in zip(trees.tolist(), partners[at].tolist(), strict=True):
+            if t != tree[i]:
+                tree[tree == t] = tree[i]
+                found.append((i, j))
+    return found

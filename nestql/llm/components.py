@@ -25,12 +25,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Rows (node, component): the smallest node reachable from each node that has an edge.
 
-    Edges are undirected longs; nulls, loops and repeats are ignored; no edges give no rows. Every round
+    Edges are undirected, of any type that has an order; nulls, loops and repeats are ignored; no edges give no rows. Every round
     is checkpointed to the shared folder, so a lost executor costs one round at most. Minima are
     pre-aggregated before each shuffle and a hub is a sort-merge join key that adaptive execution splits.
     """
     now = cut(
-        edges.select(F.greatest(src, dst).cast("long").alias("u"), F.least(src, dst).cast("long").alias("v"))
+        edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
         .where(f"{src} is not null and {dst} is not null and u > v")
         .distinct()
     )

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks_by_size, cut
+from .common import chunks_by_size, cut, spanning_forest
 from .components import connected_components
 from .shingles import band_keys, set_key, shingle_sets, signatures, universal_hashes
 
@@ -56,25 +56,6 @@ def _sketcher(width: int, bands: int, rows: int):
     return run
 
 
-def _forest(n: int, pairs) -> list[tuple[int, int]]:
-    """The pairs that join two trees, of pairs of numbers under n."""
-    up = list(range(n))
-
-    def root(x):
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    kept = []
-    for x, y in pairs:
-        rx, ry = root(x), root(y)
-        if rx != ry:
-            up[ry] = rx
-            kept.append((x, y))
-    return kept
-
-
 def confirmed_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, hashes, slack: float = 0.14) -> list[tuple[int, int]]:
     """A spanning forest of the pairs with 100 * intersection >= percent * union, of one block or of two.
 
@@ -83,7 +64,7 @@ def confirmed_links(left: list[np.ndarray], right: list[np.ndarray] | None, perc
     """
     sets = left + (right or [])
     sig = signatures(sets, *hashes).astype(np.uint16)
-    n, m = len(left), len(sets)
+    n = len(left)
     first, second = sig[:n], sig[n:] if right is not None else sig
     agree = np.zeros((len(first), len(second)), np.uint16)
     for k in range(sig.shape[1]):
@@ -117,8 +98,11 @@ def confirmed_links(left: list[np.ndarray], right: list[np.ndarray] | None, perc
     size = np.array([len(s) for s in sets])
     union = size[rows][:, None] + size[cols + shift][None, :] - inter
     linked = near[np.ix_(rows, cols)] & (100 * inter >= percent * union)
-    x, y = np.nonzero(linked)
-    return _forest(m, zip(rows[x].tolist(), (cols[y] + shift).tolist(), strict=True))
+    if right is None:  # rows and columns must be the same items
+        whole = np.zeros((n, n), bool)
+        whole[np.ix_(rows, cols)] = linked
+        return spanning_forest(whole, True)
+    return [(int(rows[x]), int(cols[y]) + n) for x, y in spanning_forest(linked, False)]
 
 
 def _cell_linker(width: int, percent: int, bands: int, rows: int):

@@ -2,19 +2,81 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import chat_format, decontaminate, html_extract, language_id, license_scan, quality_classifier, sentencepiece, url_filter
 from .common import table
+from .embedding_dedup import embedding_links
 from .minhash_dedup import near_duplicates
 from .sql import ORACLES
 
+#: Where the driver finds a SentencePiece model; executors get its pieces from the driver.
+PIECE_MODEL = os.environ.get("NESTQL_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        pa.table({"conv_id": pa.array([-7, -7]), "turn": pa.array([0, 1]), "role": pa.array(["user", "assistant"]), "text": pa.array([said, said])})
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_format.digests(chat_format.format_turns(rows))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentencepiece.Pieces.read(PIECE_MODEL)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = sentencepiece.encode(docs, model, check_col="round_trip")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_matches(table(spark, sf_dir, "documents"))
+
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.quality_scores(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.languages(docs, language_id.fit(docs))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
