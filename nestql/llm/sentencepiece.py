@@ -171,6 +171,18 @@ def chunk_column(text):
     return F.when(F.length(text) > 0, F.split(marked, f"(?<=[^{META}])(?={META})"))
 
 
+def _let(value, body):
+    """body(value) with value computed once: the optimizer computes an expression wherever it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _between(word, cuts):
+    """The parts of word between neighbouring cuts."""
+    return F.transform(
+        F.sequence(F.lit(1), F.size(cuts) - 1), lambda k: F.substring(word, F.get(cuts, k - 1) + 1, F.get(cuts, k) - F.get(cuts, k - 1))
+    )
+
+
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """Rows (word, edges): every substring of at most `longest` characters that is a piece, as (start, len, score, id)."""
     n = F.length("word")
@@ -200,23 +212,15 @@ def folded_bpe(graph: DataFrame) -> DataFrame:
 
         able = F.filter("edges", lambda e: (e["len"] > 1) & joins(e))
         best = F.array_min(F.transform(able, lambda e: F.struct((-e["score"]).alias("cost"), e["start"].alias("start"), e["len"].alias("len"))))
-        # bound once: an expression that is named twice is computed twice
-        joined = F.transform(F.array(best), lambda e: bounds.bitwiseAND(F.bitwise_not(bit(e["start"] + e["len"]) - bit(e["start"] + 1))))
-        return F.coalesce(F.get(joined, F.lit(0)), bounds)
+        joined = _let(best, lambda e: bounds.bitwiseAND(F.bitwise_not(bit(e["start"] + e["len"]) - bit(e["start"] + 1))))
+        return F.coalesce(joined, bounds)
 
     n = F.length("word")
     every = bit(n + 1) - F.lit(1).cast("long")
     rounds = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
-    bounds = graph.select("word", F.aggregate(rounds, every, step).alias("bounds"))
-    starts = F.filter(F.sequence(F.lit(0), n), lambda i: F.col("bounds").bitwiseAND(bit(i)) != 0)
-    cuts = bounds.select("word", starts.alias("cuts"))
-    return cuts.select(
-        "word",
-        F.transform(
-            F.sequence(F.lit(1), F.size("cuts") - 1),
-            lambda k: F.substring(F.col("word"), F.get("cuts", k - 1) + 1, F.get("cuts", k) - F.get("cuts", k - 1)),
-        ).alias("pieces"),
-    )
+    final = F.aggregate(rounds, every, step)
+    cuts = _let(final, lambda bounds: F.filter(F.sequence(F.lit(0), n), lambda i: bounds.bitwiseAND(bit(i)) != 0))
+    return graph.select("word", _let(cuts, lambda c: _between(F.col("word"), c)).alias("pieces"))
 
 
 def folded_unigram(graph: DataFrame, worst: float) -> DataFrame:
@@ -233,21 +237,18 @@ def folded_unigram(graph: DataFrame, worst: float) -> DataFrame:
         single = F.exists("edges", lambda e: (e["start"] == end - 1) & (e["len"] == 1))
         rough = F.struct((F.get(best, end - 1)["score"] + F.lit(worst - 10.0)).alias("score"), (F.lit(1) - end).alias("start"))
         top = F.array_max(F.when(single, ways).otherwise(F.concat(ways, F.array(rough))))
-        return F.concat(best, F.array(F.struct(top["score"].alias("score"), (-top["start"]).alias("start")))).cast(kind)
+        new = _let(top, lambda t: F.struct(t["score"].alias("score"), (-t["start"]).alias("start")))
+        return F.concat(best, F.array(new)).cast(kind)
 
-    best = graph.select("word", F.aggregate(F.sequence(F.lit(1), n), first, step).alias("best"))
-    walk = F.aggregate(
-        F.sequence(F.lit(1), n),
-        F.array(n),
-        lambda cuts, _: F.when(F.get(cuts, F.lit(0)) > 0, F.concat(F.array(F.get(F.col("best"), F.get(cuts, F.lit(0)))["start"]), cuts)).otherwise(cuts),
-    )
-    return best.select("word", walk.alias("cuts")).select(
-        "word",
-        F.transform(
-            F.sequence(F.lit(1), F.size("cuts") - 1),
-            lambda k: F.substring(F.col("word"), F.get("cuts", k - 1) + 1, F.get("cuts", k) - F.get("cuts", k - 1)),
-        ).alias("pieces"),
-    )
+    def walk(best):
+        def back(cuts, _):
+            first = F.get(cuts, F.lit(0))
+            return F.when(first > 0, F.concat(F.array(F.get(best, first)["start"]), cuts)).otherwise(cuts)
+
+        return F.aggregate(F.sequence(F.lit(1), n), F.array(n), back)
+
+    best = F.aggregate(F.sequence(F.lit(1), n), first, step)
+    return graph.select("word", _let(_let(best, walk), lambda c: _between(F.col("word"), c)).alias("pieces"))
 
 
 def relational_encode(words: DataFrame, model: Pieces) -> DataFrame:
