@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .plans.planner import ROW_ID, Options, Plan, quoted
 from .request import Request
-from .schema import FieldInfo, field_infos, normalise, walk
+from .schema import FieldInfo, field_infos, walk
 from .sources.json import json_records
 from .sources.xml import XmlOptions, xml_records
 from .sources.xsd import Hints, merge_hints, parse_xsd, strip_root
@@ -38,7 +38,7 @@ class Catalog:
     def register_df(self, name: str, df: DataFrame, row_id: str | None = None) -> DataFrame:
         """Register a DataFrame. `row_id` names the column whose order is the records' order; without one it
         is the order in which Spark reads the rows."""
-        typed = normalise(df).withColumn(ROW_ID, walk(None, (row_id,)) if row_id else F.monotonically_increasing_id())
+        typed = df.withColumn(ROW_ID, walk(None, (row_id,)) if row_id else F.monotonically_increasing_id())
         with self._lock:
             self._data[name] = typed
         return typed
@@ -115,7 +115,7 @@ class Catalog:
         """Run a request: inline data if it has some, else its dataset."""
         r = Request.of(request)
         if r.data:
-            df = normalise(json_records(self.spark, r.data)).withColumn(ROW_ID, F.monotonically_increasing_id())
+            df = json_records(self.spark, r.data).withColumn(ROW_ID, F.monotonically_increasing_id())
         else:
             df = self.get(r.dataset)
             if df is None:
@@ -125,7 +125,7 @@ class Catalog:
 
 def aggregate(df: DataFrame, request: Request | Mapping[str, Any] | str, row_id: str | None = None, today: dt.date | None = None, options: Options = Options()) -> DataFrame:
     """Run a request against a DataFrame that is in no catalog."""
-    typed = normalise(df).withColumn(ROW_ID, walk(None, (row_id,)) if row_id else F.monotonically_increasing_id())
+    typed = df.withColumn(ROW_ID, walk(None, (row_id,)) if row_id else F.monotonically_increasing_id())
     return Plan(typed, Request.of(request), today or dt.date.today(), options).build()
 
 

@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 
 from ..functions.dates import months_back, within_period
 from ..functions.history import any_in_tail, compare_with, sum_of, tail
-from ..functions.text import text_of
 from ..request import Aggregation
 
 _MERGE = {
@@ -56,7 +55,7 @@ def _null() -> Column:
 
 
 def contribution(a: Aggregation, v: Column, kind: T.DataType | None, today: dt.date, element: bool = False) -> Column:
-    """What the value v of type kind adds under a's operation (for `distinct`: its text).
+    """What the value v of type kind adds under a's operation (for `distinct`: itself).
 
     `element` values are found even when they are null, so count_rows counts them.
     """
@@ -71,7 +70,7 @@ def contribution(a: Aggregation, v: Column, kind: T.DataType | None, today: dt.d
     if op in ("count", "count_rows"):
         return F.when(v.isNotNull(), 1.0).otherwise(0.0)
     if op == "count_distinct":
-        return text_of(v, kind)
+        return v
     if op in ("sum", "avg", "min", "max"):
         return _null() if number is None else number
     if op in ("worst_last_n", "max_last_n", "min_last_n", "sum_last_n"):

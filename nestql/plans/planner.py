@@ -21,7 +21,7 @@ from ..functions.dates import within_period
 from ..operators import aggregates as ops
 from ..operators.predicates import all_of
 from ..request import Aggregation, Request
-from ..schema import Path, resolve, walk
+from ..schema import Path, leaf, resolve, shown, walk
 
 log = logging.getLogger("nestql")
 
@@ -100,7 +100,7 @@ class Plan:
         def value(field: str):
             p = resolve(self.schema, field)
             inside = p.kind is None or len(p.steps) > 1 and bool(p.steps[-1])
-            return (F.lit(None), None) if inside else (walk(None, p.steps[0]), p.kind)
+            return (F.lit(None), None) if inside else leaf(walk(None, p.steps[0]), p.kind)
 
         return all_of(self.where, value, self.today)
 
@@ -116,7 +116,7 @@ class Plan:
             def value(field: str):
                 p = resolved[field]
                 usable = p.kind is not None and len(p.steps) == 1
-                return (get(p.steps[0]), p.kind) if usable else (F.lit(None), None)
+                return leaf(get(p.steps[0]), p.kind) if usable else (F.lit(None), None)
 
             return all_of(conditions, value, self.today)
 
@@ -144,6 +144,7 @@ class Plan:
 
     def _in_window(self, a: Aggregation, date: Column, kind: T.DataType | None) -> Column:
         """Elements whose date is missing or is no string stay."""
+        date, kind = leaf(date, kind)
         if not isinstance(kind, T.StringType):
             return F.lit(True)
         return date.isNull() | within_period(date, a.n, a.text("unit", "month"), a.params.get("ref_date"), self.today)
@@ -162,8 +163,8 @@ class Plan:
                 return ops.fold_array(a.op, F.when(array.isNotNull(), F.array().cast("array<double>")))
             plain = array[names[rel]]
             if a.op in ("sum", "avg", "min", "max") and isinstance(p.kind, T.NumericType):
-                return ops.fold_array(a.op, plain)
-            items = F.transform(plain, lambda v: ops.contribution(a, v, p.kind, self.today, element=True))
+                return ops.fold_array(a.op, plain if isinstance(p.kind, T.DoubleType) else plain.cast("array<double>"))
+            items = F.transform(plain, lambda v: ops.contribution(a, *leaf(v, p.kind), self.today, element=True))
             return ops.fold_array(a.op, items)
         element = resolve(self.schema, outer).kind.elementType
         first = p.steps[1]
@@ -183,7 +184,7 @@ class Plan:
             if date:
                 kind = resolve(own, ".".join(date)).kind
                 array = F.filter(array, lambda e: self._in_window(a, walk(e, date), kind)) if kind is not None else array
-            items = F.transform(array, lambda e: ops.contribution(a, walk(e, rel), p.kind, self.today, element=True))
+            items = F.transform(array, lambda e: ops.contribution(a, *leaf(walk(e, rel), p.kind), self.today, element=True))
             return ops.fold_array(a.op, items)
         inner = F.transform(array, lambda e: self._nested(a, p, depth + 1, walk(e, rel), path, own))
         return ops.fold_results(a.op, inner, ops.is_pair(a.op, len(p.arrays) - depth - 1))
@@ -230,7 +231,7 @@ class Plan:
                 date = self._dated(a, deep=False)
                 if len(p.arrays) == 1 and date and resolve(resolve(self.schema, p.arrays[0]).kind.elementType, ".".join(date)).kind is not None:
                     fields.append(date)
-        keys = self._keys([walk(None, p.steps[0]) if p.kind is not None else F.lit(None).cast("string") for p in self.group])
+        keys = self._keys([shown(walk(None, p.steps[0]), p.kind) if p.kind is not None else F.lit(None).cast("string") for p in self.group])
         shared = {path: self._elements(path, fields) for path, fields in needed.items()}
         # arrays are narrowed and filtered once, in a projection of their own, however many aggregations fold them
         columns = {path: f"__array{i}" for i, path in enumerate(shared)}
@@ -248,12 +249,12 @@ class Plan:
         for a in self.request.aggregations:
             p = self.paths[a.field]
             if not p.arrays:
-                value = walk(None, p.steps[0]) if p.kind is not None else None
+                value, kind = leaf(walk(None, p.steps[0]), p.kind) if p.kind is not None else (None, None)
                 if a.op == "count_rows" and value is not None:
                     around = walk(None, p.steps[0][:-1]) if len(p.steps[0]) > 1 else None
                     item = F.lit(1.0) if around is None else F.when(around.isNotNull(), 1.0)
                 else:
-                    item = ops.contribution(a, value, p.kind, self.today)
+                    item = ops.contribution(a, value, kind, self.today)
                 folded = ops.fold_group(ops.merge_of(a.op), item)
             elif a.op == "avg" and len(p.arrays) > 1 and self.options.nested_avg == "weighted":
                 total, n = (F.sum(result(part, p)) for part in self._weighted(a))
@@ -297,17 +298,17 @@ class Plan:
                 shared += 1
             if shared == 0:
                 kind = p.kind if not p.arrays else resolve(self.schema, p.arrays[0]).kind
-                return walk(None, p.steps[0]), kind
+                return leaf(walk(None, p.steps[0]), kind)
             if shared == len(p.arrays):
                 kind, rel = p.kind, p.steps[shared]
             else:
                 kind, rel = resolve(self.schema, p.arrays[shared]).kind, p.steps[shared]
             start = F.col(f"__element{shared - 1}")
-            return (start[names[rel]] if shared == 1 else walk(start, rel)), kind
+            return leaf(start[names[rel]] if shared == 1 else walk(start, rel), kind)
 
         place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
         rows = rows.withColumn("__place", place)
-        keys = self._keys([value(p)[0] if p.kind is not None else F.lit(None).cast("string") for p in self.group])
+        keys = self._keys([shown(*value(p)) if p.kind is not None else F.lit(None).cast("string") for p in self.group])
         by_record = self.options.parent_dedup == "record"
         if by_record and any(not p.text.startswith(f"{outer}.") for p in self.paths.values()):
             rows = self._mark_first(rows, keys)

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,24 +101,20 @@ def walk(start: Column | None, names: tuple[str, ...]) -> Column:
     return reduce(lambda c, n: c.getField(n), names, start)
 
 
-def normalised(kind: T.DataType) -> T.DataType:
-    """The type with every number a double and dates, times and binaries strings."""
-    if isinstance(kind, T.StructType):
-        return T.StructType([T.StructField(f.name, normalised(f.dataType), True) for f in kind.fields])
-    if isinstance(kind, T.ArrayType):
-        return T.ArrayType(normalised(kind.elementType), True)
+def leaf(v: Column, kind: T.DataType | None) -> tuple[Column, T.DataType | None]:
+    """A value as the data model has it: dates, times and other scalars are strings; numbers keep their type
+    until they are computed with, so that comparing them reaches the scan."""
+    kept = (T.NumericType, T.BooleanType, T.StringType, T.ArrayType, T.StructType)
+    if kind is None or isinstance(kind, kept):
+        return v, kind
+    return v.cast("string"), T.StringType()
+
+
+def shown(v: Column, kind: T.DataType | None) -> Column:
+    """A value in a result, where every number is a double."""
+    v, kind = leaf(v, kind)
     if isinstance(kind, T.NumericType):
-        return T.DoubleType()
-    if isinstance(kind, T.BooleanType):
-        return kind
-    return T.StringType()
-
-
-def normalise(df: DataFrame) -> DataFrame:
-    """Columns cast to the data model's types, where they are not already; fields of pruned types stay prunable."""
-    out = []
-    for f in df.schema.fields:
-        c, want = walk(None, (f.name,)), normalised(f.dataType)
-        same = want.simpleString() == f.dataType.simpleString()
-        out.append(c if same else c.cast(want).alias(f.name))
-    return df.select(*out)
+        return v.cast("double")
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+        return v.cast("array<double>")
+    return v

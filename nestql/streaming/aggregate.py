@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..plans.planner import ROW_ID, Options, Plan
 from ..request import Request
-from ..schema import normalise, walk
+from ..schema import walk
 
 
 def aggregate_stream(
@@ -35,5 +35,5 @@ def aggregate_stream(
         raise ValueError("count_distinct over records is not possible on a stream")
     if not r.aggregations:
         raise ValueError("a stream needs an aggregation")
-    ordered = normalise(stream).withColumn(ROW_ID, walk(None, (row_id,)) if row_id else F.lit(0).cast("long"))
+    ordered = stream.withColumn(ROW_ID, walk(None, (row_id,)) if row_id else F.lit(0).cast("long"))
     return Plan(ordered, r, today or dt.date.today(), options).build()
