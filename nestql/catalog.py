@@ -5,7 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import json
 import threading
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +15,22 @@ from pyspark.sql import types as T
 
 from .plans.planner import ROW_ID, Options, Plan, quoted
 from .request import Request
-from .schema import FieldInfo, field_infos, walk
+from .schema import FieldInfo, field_infos, narrowed, walk
 from .sources.json import json_records
 from .sources.xml import XmlOptions, xml_records
 from .sources.xsd import Hints, merge_hints, parse_xsd, strip_root
 
 
+@dataclass(frozen=True)
+class Dataset:
+    """A registered DataFrame with ROW_ID; `reread` reads its source again with a narrower schema, where that is possible,
+    and has to read `keys`."""
+
+    df: DataFrame
+    reread: Callable[[T.StructType], DataFrame] | None = None
+    keys: tuple[str, ...] = ()
+
+
 class Catalog:
     """Datasets by name. Registering a name again replaces its dataset.
 
@@ -28,7 +39,7 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, options: Options = Options()):
         self.spark, self.options = spark, options
-        self._data: dict[str, DataFrame] = {}
+        self._data: dict[str, Dataset] = {}
         self._hints: dict[str, Hints] = {}
         self._lock = threading.RLock()
         spark.conf.set("spark.sql.caseSensitive", "true")
@@ -38,13 +49,22 @@ class Catalog:
     def register_df(self, name: str, df: DataFrame, row_id: str | None = None) -> DataFrame:
         """Register a DataFrame. `row_id` names the column whose order is the records' order; without one it
         is the order in which Spark reads the rows."""
-        typed = df.withColumn(ROW_ID, walk(None, (row_id,)) if row_id else F.monotonically_increasing_id())
+        return self._keep(name, Dataset(_with_row_id(df, row_id)))
+
+    def _keep(self, name: str, dataset: Dataset) -> DataFrame:
         with self._lock:
-            self._data[name] = typed
-        return typed
+            self._data[name] = dataset
+        return dataset.df
 
     def register_parquet(self, name: str, path: str, row_id: str | None = None) -> DataFrame:
-        return self.register_df(name, self.spark.read.parquet(path), row_id)
+        """Register Parquet files. Each request reads just the leaves that it names, in arrays at any depth:
+        the optimizer narrows a scan no deeper than the first array inside an array."""
+
+        def reread(schema: T.StructType) -> DataFrame:
+            return _with_row_id(self.spark.read.schema(schema).parquet(path), row_id)
+
+        whole = self.spark.read.parquet(path)
+        return self._keep(name, Dataset(_with_row_id(whole, row_id), reread, (row_id,) if row_id else ()))
 
     def register_json(self, name: str, source: str | bytes | list, is_path: bool = False) -> DataFrame:
         """Register JSON text, decoded values, or a file of it (any path that Spark reads)."""
@@ -88,7 +108,8 @@ class Catalog:
 
     def get(self, name: str) -> DataFrame | None:
         with self._lock:
-            return self._data.get(name)
+            found = self._data.get(name)
+        return found and found.df
 
     def names(self) -> list[str]:
         with self._lock:
@@ -115,18 +136,26 @@ class Catalog:
         """Run a request: inline data if it has some, else its dataset."""
         r = Request.of(request)
         if r.data:
-            df = json_records(self.spark, r.data).withColumn(ROW_ID, F.monotonically_increasing_id())
+            df = _with_row_id(json_records(self.spark, r.data), None)
         else:
-            df = self.get(r.dataset)
-            if df is None:
+            with self._lock:
+                found = self._data.get(r.dataset)
+            if found is None:
                 raise KeyError(f"dataset {r.dataset!r} not found")
+            df = found.df
+            if found.reread is not None:
+                used = narrowed(T.StructType([f for f in df.schema.fields if f.name != ROW_ID]), [*r.paths(), *found.keys])
+                df = found.reread(used) if used.fields else df
         return Plan(df, r, today or dt.date.today(), options or self.options).build()
 
 
+def _with_row_id(df: DataFrame, row_id: str | None) -> DataFrame:
+    return df.withColumn(ROW_ID, walk(None, (row_id,)) if row_id else F.monotonically_increasing_id())
+
+
 def aggregate(df: DataFrame, request: Request | Mapping[str, Any] | str, row_id: str | None = None, today: dt.date | None = None, options: Options = Options()) -> DataFrame:
     """Run a request against a DataFrame that is in no catalog."""
-    typed = df.withColumn(ROW_ID, walk(None, (row_id,)) if row_id else F.monotonically_increasing_id())
-    return Plan(typed, Request.of(request), today or dt.date.today(), options).build()
+    return Plan(_with_row_id(df, row_id), Request.of(request), today or dt.date.today(), options).build()
 
 
 def result_rows(df: DataFrame) -> list[dict[str, Any]]:

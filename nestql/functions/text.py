@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column
@@ -55,12 +56,8 @@ def literal_text(value: Any) -> str:
         return "+Inf" if x > 0 else "-Inf"
     if x == 0:
         return "0"
-    digits, _, exponent = f"{x:.17e}".partition("e")
-    short = repr(abs(x))
-    mantissa, _, power = short.partition("e")
-    whole, _, fraction = mantissa.partition(".")
-    raw = (whole + fraction).lstrip("0").rstrip("0") or "0"
-    exp = int(exponent)
+    shortest = Decimal(repr(abs(x)))
+    raw, exp = "".join(map(str, shortest.as_tuple().digits)).rstrip("0"), shortest.adjusted()
     sign = "-" if x < 0 else ""
     if -4 <= exp < 6:
         if exp < 0:

@@ -215,7 +215,9 @@ class Plan:
             out = out.join(self.df.limit(1).select(F.lit(1).alias("__any")), F.lit(True), "left_semi")
         else:
             grouped = rows.groupBy(*[c.alias(f"k{i}") for i, c in enumerate(keys.values())])
-            out = grouped.agg(first.alias("__first"), *[c.alias(f"v{i}") for i, c in enumerate(values.values())])
+            # the place of an exploded row is a struct, which Spark aggregates by sorting: only taken where it is asked for
+            order = [first.alias("__first")] if self.options.ordered or not values else []
+            out = grouped.agg(*order, *[c.alias(f"v{i}") for i, c in enumerate(values.values())])
             out = out.orderBy("__first") if self.options.ordered else out
         at = {n: f"k{i}" for i, n in enumerate(keys)} | {n: f"v{i}" for i, n in enumerate(values)}
         return out.select(*[F.col(at[n]).alias(n) for n in names])
@@ -323,7 +325,8 @@ class Plan:
             elif by_record:
                 folded = ops.fold_group(merge, F.when(F.col("__first_of_record"), self._seen(a, v, kind)))
             else:
-                one = self._seen(a, F.min_by(v, F.col("__place")), kind)
+                # such a field is the same in all rows of a record, so the record's order decides
+                one = self._seen(a, F.min_by(v, F.col(ROW_ID)), kind)
                 folded = F.when(one.isNotNull(), 1.0) if merge == "distinct" else one
             values[a.name] = ops.finish(a.op, folded)
         return self._aggregate(rows, keys, values, F.min("__place"))

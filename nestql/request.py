@@ -64,3 +64,14 @@ class Request:
             aggregations,
             raw.get("filterMode") or "auto",
         )
+
+    def paths(self) -> list[str]:
+        """Every dotted path that the request can read; conditions may be relative to their array or not."""
+        found = [*self.group_by, *self.where, *[a.field for a in self.aggregations]]
+        for path, conditions in self.local_filter.items():
+            found += [f if f.startswith(f"{path}.") else f"{path}.{f}" for f in conditions]
+        for a in self.aggregations:
+            date = a.text("date_field")
+            around = a.field.split(".")
+            found += [".".join([*around[:i], date]) for i in range(1, len(around))] if date else []
+        return found

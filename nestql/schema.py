@@ -118,3 +118,25 @@ def shown(v: Column, kind: T.DataType | None) -> Column:
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
         return v.cast("array<double>")
     return v
+
+
+def narrowed(schema: T.StructType, paths: list[str]) -> T.StructType:
+    """The schema with only the fields that lie on one of the dotted paths; a path's end keeps all it holds."""
+    tails: dict[str, list[str]] = {}
+    for p in paths:
+        if p in schema.names:
+            tails.setdefault(p, []).append("")
+        head, _, tail = p.partition(".")
+        tails.setdefault(head, []).append(tail)
+
+    def inner(kind: T.DataType, rest: list[str]) -> T.DataType:
+        if "" in rest:
+            return kind
+        if isinstance(kind, T.StructType):
+            return narrowed(kind, rest) if any(r.split(".")[0] in kind.names for r in rest) else kind
+        if isinstance(kind, T.ArrayType):
+            return T.ArrayType(inner(kind.elementType, rest), kind.containsNull)
+        return kind
+
+    kept = [f for f in schema.fields if f.name in tails]
+    return T.StructType([T.StructField(f.name, inner(f.dataType, tails[f.name]), f.nullable) for f in kept])
