@@ -167,7 +167,7 @@ def label_words(texts: list[bytes], model: Model, penalty: float = 6.0) -> tuple
     """(words, label of each word, margin-scaled score of each word and language)."""
     w = Words(texts)
     n_lang = len(model.langs)
-    if not len(w.start):
+    if not len(w.start) or not n_lang:
         return w, np.zeros(0, np.int64), np.zeros((0, n_lang), np.float32)
     # one language at a time, so that only one number for each byte is held
     score = np.empty((len(w.start), n_lang), np.float32)
@@ -186,7 +186,7 @@ def predict_texts(texts: list[bytes], model: Model, penalty: float = 6.0) -> tup
         w, labels, _ = label_words(texts[i:j], model, penalty)
         weight = np.zeros((j - i, max(1, len(model.langs))))
         owner = np.repeat(np.arange(j - i), np.diff(w.first))
-        if len(model.langs):
+        if len(labels):
             np.add.at(weight, (owner, labels), w.end - w.start)
         total, best = weight.sum(1), weight.argmax(1)
         for k in range(j - i):

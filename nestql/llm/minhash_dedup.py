@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks_by_size, cut, spanning_forest
+from .common import chunks_by_size, cut, free_name, spanning_forest
 from .components import connected_components
 from .shingles import band_keys, set_key, shingle_sets, signatures, universal_hashes
 
@@ -181,8 +181,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that repeat a kept id are copies too: the one with the smallest text stays. Null ids all stay.
     """
-    kept = near_duplicates(docs, id_col, text_col, **how).where("kept").select(F.col(id_col).alias("_kept_id")).where("_kept_id is not null").distinct()
-    stay = docs.join(kept, docs[id_col].cast("long") == F.col("_kept_id"), "left_semi")
+    key = free_name(docs, "kept_id")
+    kept = near_duplicates(docs, id_col, text_col, **how).where("kept").select(F.col(id_col).alias(key)).where(F.col(key).isNotNull()).distinct()
+    stay = docs.join(kept, docs[id_col].cast("long") == F.col(key), "left_semi")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    once = stay.groupBy(F.col(id_col).cast("long").alias("_kept_id")).agg(F.min_by(row, F.coalesce(F.col(text_col), F.lit(""))).alias("_row")).select("_row.*")
+    once = stay.groupBy(F.col(id_col).cast("long").alias(key)).agg(F.min_by(row, F.coalesce(F.col(text_col), F.lit(""))).alias("row")).select("row.*")
     return once.unionByName(docs.where(F.col(id_col).isNull()))
