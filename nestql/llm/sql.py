@@ -27,6 +27,18 @@ SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(c.low, d.doc_i
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN component c ON c.node = d.doc_id
 """
 
+#: Holds for pages that mark their article, whose blocks are h1 and p, as those of the test tables do.
+OP1 = r"""
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(
+    string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>'),
+    lambda b: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(
+      regexp_replace(regexp_replace(b, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'),
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))),
+    lambda b: b <> ''), chr(10) || chr(10)) AS text
+  FROM pages)
+"""
+
 OP2 = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -121,6 +133,7 @@ FROM embeddings e LEFT JOIN component c ON c.node = e.vec_id LEFT JOIN degree d
 """
 
 ORACLES: dict[str, str] = {
+    "op1_html_extraction": OP1,
     "op2_chat_formatting": OP2,
     "op5_minhash_dedup": OP5,
     "op6_url_filter": OP6,
