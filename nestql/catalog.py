@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .plans.dynamic import DynamicPlan
 from .plans.planner import ROW_ID, Options, Plan, quoted
 from .request import Request
 from .schema import FieldInfo, field_infos, narrowed, walk
-from .sources.json import json_records
+from .sources.json import json_lines, json_records
 from .sources.xml import XmlOptions, xml_records
 from .sources.xsd import Hints, merge_hints, parse_xsd, strip_root
 
@@ -29,6 +30,7 @@ class Dataset:
     df: DataFrame
     reread: Callable[[T.StructType], DataFrame] | None = None
     keys: tuple[str, ...] = ()
+    dynamic: bool = False
 
 
 class Catalog:
@@ -70,6 +72,12 @@ class Catalog:
         """Register JSON text, decoded values, or a file of it (any path that Spark reads)."""
         return self.register_df(name, json_records(self.spark, source, is_path))
 
+    def register_dynamic(self, name: str, source: DataFrame | str | bytes | list) -> DataFrame:
+        """Register records whose types differ from row to row: decoded values, JSON text, or a DataFrame of JSON texts
+        in a column `value`. Requests then run in Python on the executors; see nestql.plans.dynamic."""
+        lines = source if isinstance(source, DataFrame) else json_lines(self.spark, source)
+        return self._keep(name, Dataset(_with_row_id(lines.select("value"), None), dynamic=True))
+
     def register_xml(
         self, name: str, source: str | bytes, is_path: bool = False, xsd: str | bytes | None = None, many: bool = False, options: XmlOptions | None = None
     ) -> DataFrame:
@@ -143,6 +151,8 @@ class Catalog:
             if found is None:
                 raise KeyError(f"dataset {r.dataset!r} not found")
             df = found.df
+            if found.dynamic:
+                return DynamicPlan(df, ROW_ID, r, today or dt.date.today()).build()
             if found.reread is not None:
                 used = narrowed(T.StructType([f for f in df.schema.fields if f.name != ROW_ID]), [*r.paths(), *found.keys])
                 df = found.reread(used) if used.fields else df
@@ -165,7 +175,7 @@ def result_rows(df: DataFrame) -> list[dict[str, Any]]:
         item = {}
         for name, v in zip(df.columns, row, strict=True):
             bad = isinstance(v, float) and (v != v or v in (float("inf"), float("-inf")))
-            item[name] = None if bad else v.asDict(True) if hasattr(v, "asDict") else v
+            item[name] = None if bad else v.toPython() if isinstance(v, T.VariantVal) else v.asDict(True) if hasattr(v, "asDict") else v
         out.append(item)
     return out
 

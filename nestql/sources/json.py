@@ -18,6 +18,13 @@ def inferred_schema(lines: DataFrame) -> T.StructType:
     return T.StructType.fromJson(json.loads(spark.read._jreader.json(texts).schema().json()))
 
 
+def json_lines(spark: SparkSession, source: str | bytes | list) -> DataFrame:
+    """The records of JSON text or decoded values as JSON texts, in order, in a column `value`."""
+    values: Any = json.loads(source) if isinstance(source, (str, bytes)) else source
+    records = [v for v in (values if isinstance(values, list) else [values]) if isinstance(v, dict)]
+    return spark.createDataFrame(pa.table({"value": pa.array([json.dumps(r) for r in records], pa.string())}))
+
+
 def json_records(spark: SparkSession, source: str | bytes | list, is_path: bool = False) -> DataFrame:
     """One row for each record; what is no object is left out, as it has no fields. Types are inferred over all records.
 
@@ -25,10 +32,6 @@ def json_records(spark: SparkSession, source: str | bytes | list, is_path: bool
     """
     if is_path:
         return spark.read.option("multiLine", True).json(source)
-    values: Any = json.loads(source) if isinstance(source, (str, bytes)) else source
-    records = [v for v in (values if isinstance(values, list) else [values]) if isinstance(v, dict)]
-    texts = [json.dumps(r) for r in records]
-    lines = spark.createDataFrame(pa.table({"value": pa.array(texts, pa.string())}))
-    if not any(records):
-        return lines.select()
-    return lines.select(F.from_json("value", inferred_schema(lines)).alias("r")).select("r.*")
+    lines = json_lines(spark, source)
+    schema = inferred_schema(lines)
+    return lines.select(F.from_json("value", schema).alias("r")).select("r.*") if schema.fields else lines.select()
