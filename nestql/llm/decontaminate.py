@@ -175,7 +175,7 @@ def drop_contaminated(
     window: int = 13,
     shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
-    """The rows of docs, with all their columns, that are not contaminated."""
+    """The rows of docs, with all their columns, that are not contaminated; null and empty texts stay."""
     shards = _broadcast(docs, benchmark, item_col, item_text_col, shard_bytes)
     at = docs.columns.index(text_col)
 

@@ -233,8 +233,11 @@ def languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     return plain.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def drop_unsure_language(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5, penalty: float = 6.0) -> DataFrame:
-    """The rows of docs, with all their columns, of which one language has at least `threshold` of the letters."""
+def drop_unsure_language(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3, penalty: float = 6.0) -> DataFrame:
+    """The rows of docs, with all their columns, of which one language has at least `threshold` of the letters.
+
+    Texts of two or three languages stay; null texts, those without a letter, and medleys go.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):

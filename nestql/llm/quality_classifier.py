@@ -154,7 +154,7 @@ def quality_scores(docs: DataFrame, model, id_col: str = "doc_id", text_col: str
 
 
 def drop_low_quality(docs: DataFrame, model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores at least threshold."""
+    """The rows of docs, with all their columns, whose text scores at least threshold; null texts score as empty ones."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
