@@ -23,7 +23,7 @@ def _equals(v: Column, kind: T.DataType, operand: Any) -> Column:
     if operand is None:
         return v.isNull()
     a, b = comparable(v, kind, operand)
-    return F.coalesce(a == b, F.lit(False))
+    return a == b
 
 
 def _any_of(v: Column, kind: T.DataType, operands: list) -> Column:
@@ -37,24 +37,26 @@ def _any_of(v: Column, kind: T.DataType, operands: list) -> Column:
             as_number = numeric and is_number(x)
             sides[as_number] = side
             groups.setdefault(as_number, []).append(literal)
-    tests = [F.coalesce(sides[k].isin(*g), F.lit(False)) for k, g in groups.items()]
+    tests = [sides[k].isin(*g) for k, g in groups.items()]
     if None in operands:
         tests.append(v.isNull())
     return reduce(lambda a, b: a | b, tests, F.lit(False)) if tests else F.lit(False)
 
 
 def predicate(v: Column, kind: T.DataType | None, op: str, operand: Any, today: dt.date) -> Column:
-    """Never null. `kind` is None for a field that is nowhere in the schema."""
+    """Null counts as false, as it does to every filter: a test that is left bare can be pushed down to the scan.
+
+    `kind` is None for a field that is nowhere in the schema.
+    """
     if kind is None:
         v, kind = F.lit(None).cast("string"), T.StringType()
     if op == "$eq":
         return _equals(v, kind, operand)
     if op == "$ne":
-        return ~_equals(v, kind, operand)
+        return v.isNotNull() if operand is None else v.isNull() | ~_equals(v, kind, operand)
     if op in ("$gt", "$gte", "$lt", "$lte"):
         a, b = comparable(v, kind, operand)
-        test = {"$gt": a > b, "$gte": a >= b, "$lt": a < b, "$lte": a <= b}[op]
-        return F.coalesce(test, F.lit(False))
+        return {"$gt": a > b, "$gte": a >= b, "$lt": a < b, "$lte": a <= b}[op]
     if op == "$in":
         return _any_of(v, kind, operand) if isinstance(operand, (list, tuple)) else F.lit(False)
     if op == "$nin":
@@ -62,7 +64,7 @@ def predicate(v: Column, kind: T.DataType | None, op: str, operand: Any, today:
     if op == "$contains":
         if not isinstance(kind, T.StringType) or not isinstance(operand, str):
             return F.lit(False)
-        return F.coalesce(v.contains(operand), F.lit(False))
+        return v.contains(operand)
     if op == "$notnull":
         return v.isNotNull()
     if op == "$null":
@@ -70,10 +72,13 @@ def predicate(v: Column, kind: T.DataType | None, op: str, operand: Any, today:
     if op == "$within_months":
         if not isinstance(kind, T.StringType) or not is_number(operand):
             return F.lit(False)
-        return F.coalesce(v >= F.lit(months_back(today, int(operand)).isoformat()), F.lit(False))
+        return v >= F.lit(months_back(today, int(operand)).isoformat())
     if op == "$between":
         ok = isinstance(kind, T.NumericType) and isinstance(operand, (list, tuple)) and len(operand) == 2 and all(map(is_number, operand))
-        return F.coalesce(v.cast("double").between(float(operand[0]), float(operand[1])), F.lit(False)) if ok else F.lit(False)
+        if not ok:
+            return F.lit(False)
+        (low, a), (high, b) = comparable(v, kind, operand[0]), comparable(v, kind, operand[1])
+        return (low >= a) & (high <= b)
     return F.lit(True)
 
 

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
+import sys
 from typing import Any
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # helpers run on executors, which may not have the package
+
 
 def inferred_schema(lines: DataFrame) -> T.StructType:
     """The schema of all JSON texts in the only column of lines, inferred on the executors' side of the JVM."""
@@ -25,13 +29,37 @@ def json_lines(spark: SparkSession, source: str | bytes | list) -> DataFrame:
     return spark.createDataFrame(pa.table({"value": pa.array([json.dumps(r) for r in records], pa.string())}))
 
 
+def repeated_paths(value: Any, path: str = "") -> set[str]:
+    """Paths whose value is an array."""
+    if isinstance(value, list):
+        return {path}.union(*[repeated_paths(v, path) for v in value])
+    if isinstance(value, dict):
+        return set().union(*[repeated_paths(v, f"{path}.{k}" if path else k) for k, v in value.items()])
+    return set()
+
+
+def with_arrays(value: Any, paths: set[str], path: str = "") -> Any:
+    """The value with every object that stands on one of the paths in an array of its own."""
+    if isinstance(value, list):
+        return [with_arrays(v, paths - {path}, path) for v in value]
+    if isinstance(value, dict):
+        inner = {k: with_arrays(v, paths, f"{path}.{k}" if path else k) for k, v in value.items()}
+        return [inner] if path and path in paths else inner
+    return value
+
+
 def json_records(spark: SparkSession, source: str | bytes | list, is_path: bool = False) -> DataFrame:
     """One row for each record; what is no object is left out, as it has no fields. Types are inferred over all records.
 
+    Where a path is an array in some records and an object in others, in values and texts the object becomes an array of one.
+
     Files are read by Spark, each whole, so a large dataset should be many files (or JSON lines: `spark.read.json`).
     """
     if is_path:
         return spark.read.option("multiLine", True).json(source)
-    lines = json_lines(spark, source)
+    values = json.loads(source) if isinstance(source, (str, bytes)) else source
+    records = values if isinstance(values, list) else [values]
+    paths = set().union(*[repeated_paths(r) for r in records if isinstance(r, dict)])
+    lines = json_lines(spark, [with_arrays(r, paths) for r in records])
     schema = inferred_schema(lines)
     return lines.select(F.from_json("value", schema).alias("r")).select("r.*") if schema.fields else lines.select()

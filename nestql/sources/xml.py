@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .json import inferred_schema, json_records
+from .json import inferred_schema, json_records, repeated_paths
 from .xsd import Hints
 
 # parsers run on executors, which may not have the package
@@ -97,15 +97,6 @@ def parse_xml_many(xml: str | bytes, hints: Hints = Hints(), options: XmlOptions
     return records
 
 
-def repeated_paths(value: Any, path: str = "") -> set[str]:
-    """Paths below the root whose value is an array."""
-    if isinstance(value, list):
-        return {path}.union(*[repeated_paths(v, path) for v in value])
-    if isinstance(value, dict):
-        return set().union(*[repeated_paths(v, f"{path}.{k}" if path else k) for k, v in value.items()])
-    return set()
-
-
 def xml_records(
     spark: SparkSession, source: str | bytes, is_path: bool = False, hints: Hints = Hints(), many: bool = False, options: XmlOptions = XmlOptions()
 ) -> DataFrame:

@@ -64,7 +64,6 @@ def test_on_values(spark):
     got = rows.select("i", *[t.alias(f"t{k}") for k, t in enumerate(tests)]).collect()
     for k, (field, op, operand, want) in enumerate(CASES):
         assert {r.i for r in got if r[f"t{k}"]} == want, (field, op, operand)
-        assert all(r[f"t{k}"] is not None for r in got)
 
 
 @pytest.mark.parametrize("case", [CASES[0], CASES[9], CASES[15], CASES[18]])

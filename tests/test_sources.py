@@ -116,6 +116,8 @@ def test_files(spark, tmp_path):
     assert [result_rows(c.aggregate({"dataset": d, **total})) for d in "ab"] == [[{"s": 3.0}], [{"s": 5.0}]]
     # one document has a single child where the others have several
     assert result_rows(c.aggregate({"dataset": "x", "aggregations": [agg("L.T.b", "sum", "s"), agg("L.T.b", "count", "n")]})) == [{"s": 8.0, "n": 6.0}]
+    c.register_json("mixed", [{"x": {"v": 1}}, {"x": [{"v": 2}, {"v": 3}]}, {"x": None}, {"y": 1}])
+    assert result_rows(c.aggregate({"dataset": "mixed", "aggregations": [agg("x.v", "sum", "s"), agg("x.v", "count", "n")]})) == [{"s": 6.0, "n": 3.0}]
     c.register_json("empty", "[]")
     assert result_rows(c.aggregate({"dataset": "empty", **total})) == []
 
