@@ -5,8 +5,8 @@ word becomes one symbol, any other word a symbol that no window has, so the auto
 the windows in words and a document is scanned once. Hits are mapped back to offsets in the original text.
 
 Test texts are read by the driver in shards of bounded size; each shard is one automaton and all shards
-scan a batch of documents one after the other in the same pass, so a benchmark of any size is covered
-while one automaton's size stays bounded. Documents are never shuffled.
+scan a batch of documents one after the other in the same pass. What a task holds is bounded: test texts of
+more than SHARD_BYTES * MAX_SHARDS are refused. Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER
 
-#: Bytes of test text that one automaton covers.
-SHARD_BYTES = 32 << 20
+#: Bytes of test text that one automaton covers, and the most automata that a task holds.
+SHARD_BYTES, MAX_SHARDS = 32 << 20, 8
 #: Runs of the bytes of digits, a-z and all characters from U+0080, once A-Z is in lower case.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _FIRST_SYMBOL, _SURROGATES, _LAST_SYMBOL = 1, range(0xD800, 0xE000), 0x10FFFF
@@ -117,6 +117,8 @@ def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_bytes: int
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // shard_bytes) or 1
+    if n > MAX_SHARDS and size > SHARD_BYTES * MAX_SHARDS:
+        raise ValueError(f"{size} bytes of test text; at most {SHARD_BYTES * MAX_SHARDS} fit in the tasks")
     return [
         [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).distinct().toLocalIterator()] for k in range(n)
     ]

@@ -267,3 +267,10 @@ def test_decontamination_equals_brute_force(spark, shard_bytes):
     assert kept.columns == table.columns and kept.count() == sum(not w[3] for w in want)
     assert not any(r.contaminated for r in decontaminate.contamination(table, bench.limit(0)).collect())
     assert decontaminate.contamination(table.limit(0), bench).count() == 0
+
+
+def test_decontamination_refuses_more_than_tasks_can_hold(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 1)
+    bench = spark.createDataFrame([("1", "more than eight bytes")], "item_id string, text string")
+    with pytest.raises(ValueError, match="bytes of test text"):
+        decontaminate.contamination(docs(spark, [(1, "x", None)]), bench, shard_bytes=1)
