@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import cut
+
 META = "▁"
 #: Chunks of more characters than this have no bit mask of their boundaries and are folded in the tasks.
 MASK_CHARS = 60
@@ -266,11 +268,20 @@ def relational_encode(words: DataFrame, model: Pieces) -> DataFrame:
 
 
 def frequent_chunks(docs: DataFrame, text_col: str, max_frequent: int) -> DataFrame:
-    """The most frequent chunks of all texts, counted over every row, that the lattice can hold."""
+    """The most frequent chunks of all texts that the lattice can hold, max_frequent at most.
+
+    Chunks are counted over every row. A histogram of eighths of powers of two gives the least count for
+    which there are few enough, so no task sorts or gathers the candidates.
+    """
     words = docs.select(F.explode(chunk_column(F.col(text_col).cast("string"))).alias("word"))
-    return (
-        words.where(F.length("word") <= MASK_CHARS).groupBy("word").count().where("count > 1").orderBy(F.desc("count"), "word").limit(max_frequent).select("word")
-    )
+    counted = cut(words.where(F.length("word") <= MASK_CHARS).groupBy("word").count().where("count > 1").withColumn("step", F.floor(F.log2("count") * 8)))
+    least, total = None, 0
+    for step, n in sorted(counted.groupBy("step").agg(F.count("*")).collect(), reverse=True):  # at most 8 * 63 rows
+        total += n
+        if total > max_frequent:
+            break
+        least = step
+    return counted.where(F.col("step") >= least if least is not None else F.lit(False)).select("word")
 
 
 def codebook(docs: DataFrame, model: Pieces, text_col: str = "text", max_frequent: int = MAX_FREQUENT) -> dict[str, list[int]]:
