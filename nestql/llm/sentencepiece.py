@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Text is a sequence of chunks, each a run of the meta symbol and what follows up to the next; where no piece
-spans two chunks (checked when a model is read) each chunk is encoded by itself. The lattice of frequent
+Text is a sequence of chunks, each a run of the meta symbol and what follows up to the next, or a white space
+character that is in no piece; where no piece spans two chunks (checked when a model is read) each chunk is encoded by itself. The lattice of frequent
 chunks is relational: their substrings of bounded length are exploded, joined to the piece table, grouped
 by chunk and folded with Spark's `aggregate`. The fold depends on the model's kind:
 
@@ -15,6 +15,8 @@ it by the same rules, so the bound changes where a chunk is encoded and never it
 
 from __future__ import annotations
 
+import functools
+import re
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -40,6 +42,7 @@ class Pieces(NamedTuple):
     text: list[str | int | None]  # of each id: its text, its byte value, or None where it stands for no text
     longest: int
     worst: float
+    lone: str = ""  # white space that is in no piece, so that no piece reaches across it
 
     @staticmethod
     def read(path: str) -> Pieces:
@@ -64,7 +67,7 @@ class Pieces(NamedTuple):
         scored = [s for s, _ in piece.values() if s > -1e8]
         bpe = all(float(s).is_integer() for s in scored)
         byte = [at_byte[b] for b in range(256)] if len(at_byte) == 256 else None
-        return Pieces("bpe" if bpe else "unigram", piece, byte, m.unk_id(), text, max(map(len, piece)), min(scored))
+        return Pieces("bpe" if bpe else "unigram", piece, byte, m.unk_id(), text, max(map(len, piece)), min(scored), "".join(c for c in "\n\r\t" if not any(c in p for p in piece)))
 
 
 def _leaf_ids(model: Pieces, piece: str) -> list[int]:
@@ -151,26 +154,23 @@ def fold(chunk: str, model: Pieces) -> list[int]:
     return fold_bpe(chunk, model) if model.kind == "bpe" else fold_unigram(chunk, model)
 
 
-def chunks(text: str) -> list[str]:
-    """Runs of the meta symbol with what follows each; blanks are meta symbols, and one stands before the text."""
-    if not text:
-        return []
-    parts = (META + text.replace(" ", META)).split(META)
-    out, run = [], 0
-    for i, p in enumerate(parts):
-        run += i > 0
-        if p:
-            out.append(META * run + p)
-            run = 0
-    return [*out, META * run] if run else out
+@functools.cache
+def _chunk_pattern(lone: str) -> re.Pattern:
+    return re.compile(f"[{lone}]|{META}*[^{META}{lone}]+|{META}+" if lone else f"{META}*[^{META}]+|{META}+")
+
+
+def chunks(text: str, lone: str = "") -> list[str]:
+    """Runs of the meta symbol with what follows each, and every lone character; blanks are meta symbols, and one stands before the text."""
+    return _chunk_pattern(lone).findall(META + text.replace(" ", META)) if text else []
 
 
 # The relational lattice ------------------------------------------------------------------------------------
 
 
-def chunk_column(text):
+def chunk_column(text, lone: str = ""):
     marked = F.concat(F.lit(META), F.replace(text, F.lit(" "), F.lit(META)))
-    return F.when(F.length(text) > 0, F.split(marked, f"(?<=[^{META}])(?={META})"))
+    parts = F.split(marked, f"(?<=[^{META}])(?={META})" + (f"|(?<=[{lone}])|(?=[{lone}])" if lone else ""))
+    return F.when(F.length(text) > 0, F.filter(parts, lambda p: p != ""))  # a split after the last character leaves an empty part
 
 
 def _let(value, body):
@@ -267,13 +267,13 @@ def relational_encode(words: DataFrame, model: Pieces) -> DataFrame:
     return folded_bpe(graph) if model.kind == "bpe" else folded_unigram(graph, model.worst)
 
 
-def frequent_chunks(docs: DataFrame, text_col: str, max_frequent: int) -> DataFrame:
+def frequent_chunks(docs: DataFrame, text_col: str, max_frequent: int, lone: str = "") -> DataFrame:
     """The most frequent chunks of all texts that the lattice can hold, max_frequent at most.
 
     Chunks are counted over every row. A histogram of eighths of powers of two gives the least count for
     which there are few enough, so no task sorts or gathers the candidates.
     """
-    words = docs.select(F.explode(chunk_column(F.col(text_col).cast("string"))).alias("word"))
+    words = docs.select(F.explode(chunk_column(F.col(text_col).cast("string"), lone)).alias("word"))
     counted = cut(words.where(F.length("word") <= MASK_CHARS).groupBy("word").count().where("count > 1").withColumn("step", F.floor(F.log2("count") * 8)))
     least, total = None, 0
     for step, n in sorted(counted.groupBy("step").agg(F.count("*")).collect(), reverse=True):  # at most 8 * 63 rows
@@ -286,17 +286,17 @@ def frequent_chunks(docs: DataFrame, text_col: str, max_frequent: int) -> DataFr
 
 def codebook(docs: DataFrame, model: Pieces, text_col: str = "text", max_frequent: int = MAX_FREQUENT) -> dict[str, list[int]]:
     """Ids of the frequent chunks, from the lattice; at most max_frequent entries."""
-    found = relational_encode(frequent_chunks(docs, text_col, max_frequent), model).toArrow()
+    found = relational_encode(frequent_chunks(docs, text_col, max_frequent, model.lone), model).toArrow()
     return {w: [i for p in pieces for i in _leaf_ids(model, p)] for w, pieces in zip(*(found.column(c).to_pylist() for c in ("word", "pieces")), strict=True)}
 
 
 def encode_text(text: str | None, model: Pieces, known: dict[str, list[int]], memo: dict[str, list[int]]) -> list[int]:
     out: list[int] = []
-    for c in chunks(text or ""):
+    for c in chunks(text or "", model.lone):
         ids = known.get(c) or memo.get(c)
         if ids is None:
             ids = fold(c, model)
-            if len(memo) >= 200_000:
+            if len(memo) >= 300_000:
                 memo.clear()
             if len(c) <= 64:
                 memo[c] = ids
@@ -317,6 +317,11 @@ def decode_ids(ids: list[int] | None, model: Pieces) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
+def _byte_table(model: Pieces) -> list[bytes]:
+    """The bytes of each id, meta symbols as blanks."""
+    return [bytes((t,)) if isinstance(t, int) else (t or "").replace(META, " ").encode("utf-8", "surrogatepass") for t in model.text]
+
+
 def encode(docs: DataFrame, model: Pieces, text_col: str = "text", ids_col: str = "ids", check_col: str | None = None, max_frequent: int = MAX_FREQUENT) -> DataFrame:
     """The rows of docs with their ids in `ids_col`, and in `check_col`, if given, whether these decode to the text.
 
@@ -335,6 +340,7 @@ def encode(docs: DataFrame, model: Pieces, text_col: str = "text", ids_col: str
     def run(batches):
         model, known = shared.value
         memo: dict[str, list[int]] = {}
+        at_id = _byte_table(model).__getitem__
         for batch in batches:
             texts = batch.column(at).cast(pa.string()).to_pylist()
             for lo in range(0, len(texts), 500):
@@ -342,7 +348,7 @@ def encode(docs: DataFrame, model: Pieces, text_col: str = "text", ids_col: str
                 ids = [encode_text(t, model, known, memo) for t in part]
                 columns = [c.slice(lo, len(part)) for c in batch.columns] + [pa.array(ids, pa.list_(pa.int32()))]
                 if check_col:
-                    same = [decode_ids(i, model) == (t or "").replace(META, " ") for i, t in zip(ids, part, strict=True)]
+                    same = [b"".join(map(at_id, i))[1:] == (t or "").replace(META, " ").encode("utf-8", "surrogatepass") for i, t in zip(ids, part, strict=True)]
                     columns.append(pa.array(same, pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, [*kept, *new])
 

@@ -234,5 +234,7 @@ def test_lattice_equals_the_fold_in_tasks(spark, kind):
 def test_chunks_in_sql_equal_chunks_in_python(spark):
     texts = odd_texts(80)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
-    got = sorted(df.select("i", sentencepiece.chunk_column(df.text).alias("c")).collect())
-    assert [r.c or [] for r in got] == [sentencepiece.chunks(t) for t in texts]
+    for lone in ("", "\n", "\n\t"):
+        got = sorted(df.select("i", sentencepiece.chunk_column(df.text, lone).alias("c")).collect())
+        assert [r.c or [] for r in got] == [sentencepiece.chunks(t, lone) for t in texts]
+        assert all("".join(r.c or []) == ("▁" + t if t else "").replace(" ", "▁") for r, t in zip(got, texts, strict=True))
