@@ -8,6 +8,7 @@ occur in order, and where. Texts are never shuffled, and one that quotes no temp
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
@@ -162,7 +163,7 @@ def scan(texts: list[bytes], index: Index, coverage: float = 0.8, band: int = 12
         found: list[list[dict]] = [[] for _ in range(j - i)]
         for (d, t), pairs in sorted(hits.items()):
             words, template = w.hash[w.first[d] : w.first[d + 1]], index.words[t]
-            found[d] += _occurrences(words, template, pairs, index.names[t], coverage, band)
+            found[d] += _occurrences(words, template, pairs, index.names[t], coverage, band, index.k[t])
         for d, matches in enumerate(found):
             base, begin = int(w.text_start[d]), int(w.first[d])
             for m in matches:
@@ -172,27 +173,64 @@ def scan(texts: list[bytes], index: Index, coverage: float = 0.8, band: int = 12
     return out
 
 
-def _occurrences(words, template, pairs, name, coverage, band):
-    """Align the template along every group of hits whose diagonals lie together; overlapping finds are one."""
-    pairs = sorted(pairs, key=lambda p: p[0] - p[1])
-    groups: list[list[int]] = []
-    for p in pairs:
-        diagonal = p[0] - p[1]
-        if groups and diagonal - groups[-1][0] <= band:
-            groups[-1].append(diagonal)
-        else:
-            groups.append([diagonal])
-    found = []
-    for g in groups:
-        matched = align(template, words, (g[0] + g[-1]) // 2, band + (g[-1] - g[0] + 1) // 2)
-        share = len(matched) / len(template)
-        if share >= coverage:
-            found.append({"license": name, "coverage": share, "words": (matched[0][1], matched[-1][1])})
-    best: list[dict] = []
-    for f in sorted(found, key=lambda f: (-f["coverage"], f["words"])):
-        if all(f["words"][0] > b["words"][1] or f["words"][1] < b["words"][0] for b in best):
-            best.append(f)
-    return best
+def _verbatim(words: np.ndarray, template: np.ndarray, diagonals: np.ndarray) -> list[tuple[int, int]]:
+    """First and last word of the disjoint places, from the left, where all of the template stands word for word."""
+    at = diagonals[(diagonals >= 0) & (diagonals + len(template) <= len(words))]
+    for j, word in enumerate(template):
+        at = at[words[at + j] == word]
+    found: list[tuple[int, int]] = []
+    for x in at.tolist():
+        if not found or x > found[-1][1]:
+            found.append((x, x + len(template) - 1))
+    return found
+
+
+def _occurrences(words, template, pairs, name, coverage, band, k):
+    """Align the template along every group of hits whose diagonals lie together; overlapping finds are one.
+
+    The text between finds is searched again until no alignment in it reaches the coverage, so disjoint finds are
+    all kept, however close they stand.
+    """
+    pairs = sorted(pairs)
+    places = [place for place, _ in pairs]
+    found, parts = [], [(0, len(words))]
+
+    def accept(lo, hi, finds):
+        """Keep finds, and search what they leave of the part."""
+        spans = sorted(f["words"] for f in finds)
+        found.extend(finds)
+        parts.extend(zip([lo, *(b + 1 for _, b in spans)], [*(a for a, _ in spans), hi], strict=True))
+
+    whole = _verbatim(words, template, np.unique([place - word for place, word in pairs]))
+    if whole:
+        parts.clear()
+        accept(0, len(words), [{"license": name, "coverage": 1.0, "words": x} for x in whole])
+    while parts:
+        lo, hi = parts.pop()
+        if (hi - lo) / len(template) < coverage:
+            continue
+        groups: list[list[int]] = []
+        for diagonal in sorted(x - y for x, y in pairs[bisect_left(places, lo - k + 1) : bisect_left(places, hi)]):
+            if groups and diagonal - groups[-1][0] <= band:
+                groups[-1].append(diagonal)
+            else:
+                groups.append([diagonal])
+        reached = []
+        for g in groups:
+            matched = align(template, words[lo:hi], (g[0] + g[-1]) // 2 - lo, band + (g[-1] - g[0] + 1) // 2)
+            share = len(matched) / len(template)
+            if matched and share >= coverage:
+                reached.append({"license": name, "coverage": share, "words": (matched[0][1] + lo, matched[-1][1] + lo)})
+        best: list[tuple[int, int]] = []
+        finds = []
+        for f in sorted(reached, key=lambda f: (-f["coverage"], f["words"])):
+            x = bisect_left(best, f["words"])
+            if (x == 0 or best[x - 1][1] < f["words"][0]) and (x == len(best) or f["words"][1] < best[x][0]):
+                best.insert(x, f["words"])
+                finds.append(f)
+        if finds:
+            accept(lo, hi, finds)
+    return found
 
 
 def license_matches(
@@ -209,7 +247,7 @@ def license_matches(
     found in order), start and end in characters; `licenses` their sorted distinct names. Null and empty
     texts match nothing; repeats are treated one by one; a template without words matches nothing; other
     columns are ignored. Two templates may match at one place; one template's overlapping finds are one,
-    that of most coverage.
+    that of most coverage. Finds that share no word are all kept.
     """
     templates = TEMPLATES if templates is None else templates
     if sum(len(t.encode()) for t in templates.values()) > MAX_TEMPLATE_BYTES:

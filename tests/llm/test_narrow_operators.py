@@ -128,6 +128,27 @@ def test_license_winnowing_hits_every_long_quote():
     assert all(any(i <= k < i + license_scan.WINDOW for k in kept) for i in range(300 - license_scan.WINDOW + 1))
 
 
+@pytest.mark.parametrize("name", ["MIT-line", "CC-BY-NC-4.0-line", "Apache-2.0-line", "GPL-3.0-line", "ISC"])
+@pytest.mark.parametrize("between", [" ", " and "])
+def test_license_repeats_that_stand_together_are_all_found(name, between):
+    index = license_scan.Index(license_scan.TEMPLATES)
+    line = license_scan.TEMPLATES[name]
+    for n in (2, 3, 1000):
+        text = between.join([line] * n)
+        found = [m for m in license_scan.scan([text.encode()], index)[0] if m["license"] == name]
+        step = len(line + between)
+        bare = line.rstrip(".")  # spans end with the last word
+        assert [(m["start"], m["end"], m["coverage"]) for m in found] == [(i * step, i * step + len(bare), 1.0) for i in range(n)]
+
+
+def test_license_altered_repeats_that_stand_together_are_all_found():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    altered = "Licensed under the Apache License, Version 2.1."  # 7 of 8 words
+    text = " ".join([altered] * 50)
+    found = [m for m in license_scan.scan([text.encode()], index)[0] if m["license"] == "Apache-2.0-line"]
+    assert [m["start"] for m in found] == [i * (len(altered) + 1) for i in range(50)] and {m["coverage"] for m in found} == {0.875}
+
+
 def test_license_query_shape(spark):
     rows = docs(spark, [(1, "Licensed under CC BY-NC 4.0.", "en"), (None, None, None), (1, "é Released under the MIT License.", "en")])
     got = license_scan.license_matches(rows).collect()
