@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,10 +62,11 @@ def _says_out(attributes: str) -> bool:
 
 
 class Block:
-    __slots__ = ("text", "linked", "out", "main", "heading")
+    __slots__ = ("text", "linked", "links", "said", "out", "main", "heading", "item")
 
-    def __init__(self, text, linked, out, main, heading):
-        self.text, self.linked, self.out, self.main, self.heading = text, linked, out, main, heading
+    def __init__(self, text, linked, links, said, out, main, heading, item):
+        self.text, self.linked, self.out, self.main, self.heading, self.item = text, linked, out, main, heading, item
+        self.links, self.said = links, said  # how many links hold text; share of the letters and digits outside them
 
 
 def blocks(page: str) -> list[Block]:
@@ -72,18 +74,25 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     parts: list[str] = []
     link_parts: list[str] = []
+    links = 0
     stack: list[tuple[str, bool, bool]] = []  # open containers: tag, boilerplate, main
-    out = main = in_link = False
-    heading = False
+    out = main = in_link = fresh = False
+    heading = item = False
 
     def flush():
+        nonlocal links
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                linked = len(" ".join(html.unescape("".join(link_parts)).split())) if link_parts else 0
-                found.append(Block(text, linked, out, main, heading))
+                linked, said = 0, 1.0
+                if link_parts:
+                    in_links = " ".join(html.unescape("".join(link_parts)).split())
+                    linked = len(in_links)
+                    said = 1 - sum(map(str.isalnum, in_links)) / max(1, sum(map(str.isalnum, text)))
+                found.append(Block(text, linked, max(links, linked > 0), said, out, main, heading, item))
             parts.clear()
             link_parts.clear()
+            links = 0
 
     at, end = 0, len(page)
     while at < end:
@@ -93,6 +102,8 @@ def blocks(page: str) -> list[Block]:
             parts.append(page[at:stop])
             if in_link:
                 link_parts.append(page[at:stop])
+                if fresh and not page[at:stop].isspace():
+                    links, fresh = links + 1, False
         if not m:
             break
         at = m.end()
@@ -109,7 +120,7 @@ def blocks(page: str) -> list[Block]:
                 at = close.end() if close else end
             continue
         if tag == "a":
-            in_link = not closing
+            in_link = fresh = not closing
         elif tag == "br" or tag in ("td", "th"):
             parts.append(" ")
         if tag not in _BLOCK:
@@ -131,6 +142,10 @@ def blocks(page: str) -> list[Block]:
             heading = not closing
         elif tag in ("p", "div", "li"):
             heading = False
+        if tag in ("li", "dt", "dd"):
+            item = not closing
+        elif tag in ("ul", "ol", "dl"):
+            item = False
         if closing:
             if any(s[0] == tag for s in stack):
                 while stack.pop()[0] != tag:
@@ -158,13 +173,26 @@ def stop_density(text: str) -> float:
     return max(sum(w in s for w in words) for s in _STOPS.values()) / len(words) if words else 0.0
 
 
-def classify(b: Block, max_link: float = 0.5, short: int = 70, long: int = 200, low: float = 0.15, high: float = 0.25) -> int:
-    """The first pass. In an element that marks the article only its link lists and short blocks are in doubt."""
+def link_lists(items: list[Block], least: int = 3, most_said: float = 0.1) -> list[bool]:
+    """Whether each block is nothing but links, at least `least` of them by itself or together with the list items beside it."""
+    found = []
+    for listed, run in groupby(items, lambda b: b.item and not b.out and b.links > 0 and b.said <= most_said):
+        run = list(run)
+        many = listed and sum(b.links for b in run) >= least
+        found += [many or b.links >= least and b.said <= most_said for b in run]
+    return found
+
+
+def classify(b: Block, listed: bool, max_link: float = 0.5, short: int = 70, long: int = 200, low: float = 0.15, high: float = 0.25) -> int:
+    """The first pass; `listed` tells whether the block is part of a list of links.
+
+    In an element that marks the article such lists are out; its other linked blocks and its short ones are in doubt.
+    """
     if b.out:
         return BAD
     density = b.linked / len(b.text)
     if density > max_link:
-        return BAD
+        return SHORT if b.main and (b.heading or not listed) else BAD
     if b.heading or len(b.text) < short:
         return BAD if density > 0.2 and not b.main else SHORT
     if b.main:
@@ -217,7 +245,7 @@ def main_text(page: str | None) -> str:
     items = blocks(page or "")
     if any(b.main and not b.out for b in items):  # a page that marks its article has it there alone
         items = [b for b in items if b.main]
-    keep = resolve([classify(b) for b in items], items)
+    keep = resolve([classify(b, listed) for b, listed in zip(items, link_lists(items), strict=True)], items)
     return "\n\n".join(b.text for b, k in zip(items, keep, strict=True) if k)
 
 

@@ -42,6 +42,17 @@ def test_html_with_article_element_keeps_all_of_it():
     assert html_extract.main_text(page) == "T\n\nZzz qqq %%%.\n\nKurz\n\none\n\ntwo"
 
 
+def test_html_article_keeps_linked_headlines_paragraphs_and_references():
+    article = f"""<article><h1><a href="/t">A linked title</a></h1><p>{LONG}</p><p><a href="/r">The whole report of the town can be read here</a>.</p>
+<ul><li><a href="/home">Home</a></li><li><a href="/news">News</a></li><li><a href="/about">About us</a></li></ul>
+<p><a href="/x">One</a> | <a href="/y">Two</a> | <a href="/z">Three</a></p><a href="/u"><h2>Sources</h2></a>
+<ol><li>Doe: <a href="/1">A history of the river and its floods</a>, 1990</li><li>Roe, <a href="/2">Rivers</a></li><li>Poe 1984, <a href="/3">Of the hills and the towns</a></li></ol>
+<div class="related"><h3><a href="/4">Related page</a></h3></div></article>"""
+    want = ["A linked title", " ".join(LONG.split()), "The whole report of the town can be read here.", "Sources"]
+    want += ["Doe: A history of the river and its floods, 1990", "Roe, Rivers", "Poe 1984, Of the hills and the towns"]
+    assert html_extract.main_text(f"<body><nav><a href='/'>Top</a></nav>{article}</body>") == "\n\n".join(want)
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<<>><p", "<!-- open", "<script>open", "a < b", "<p class='x", "<a href=\"x>y", "&#0;&#xD800;&bogus;", "</p></div></body>", "<p>" * 3000])
 def test_html_odd_pages(page):
     assert isinstance(html_extract.main_text(page), str)
