@@ -1,13 +1,19 @@
 """License scan: winnowed template fingerprints pick candidates, banded alignment measures them.
 
-Every template's word k-grams are winnowed into an inverted index from fingerprint to (template, word).
-A text is scanned once for the index's fingerprints; hits that lie near one diagonal are one candidate
-occurrence, and a banded alignment of template and text there gives the share of the template's words that
-occur in order, and where. Texts are never shuffled, and one that quotes no template costs only the scan.
+The word k-grams of templates of SHORT words or more are winnowed into an inverted index from fingerprint to
+(template, word). A shorter template's fingerprints are single words, so many that any text that holds enough
+of the template's words, within the band, holds one of them. A text is scanned once for the index's fingerprints; hits that lie near one
+diagonal are one candidate occurrence, and a banded alignment of template and text there gives the share of the
+template's words that occur in order, and where. Texts are never shuffled, and one that quotes no template costs
+only the scan.
+
+Limit: a quote of a template of SHORT words or more is surely met only if K + WINDOW - 1 of its words stand in
+a row as in the template.
 """
 
 from __future__ import annotations
 
+import functools
 from bisect import bisect_left
 from collections import defaultdict
 
@@ -19,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import WordHashes, chunks_by_size, mix
 
 K, WINDOW = 4, 4
+#: Templates of fewer words are met by single words.
+SHORT = 40
 CHUNK = 1 << 21
 #: Bytes of templates that are sent to every task.
 MAX_TEMPLATE_BYTES = 16 << 20
@@ -93,17 +101,73 @@ class Index:
 
     def __init__(self, templates: dict[str, str], k: int = K):
         self.names = sorted(templates)
-        self.words = [WordHashes([templates[n].encode()], _SEPARATOR).hash for n in self.names]
+        texts = [WordHashes([templates[n].encode()], _SEPARATOR) for n in self.names]
+        self.words = [w.hash for w in texts]
+        self.sizes = [(w.byte_end - w.byte_start).tolist() for w in texts]
         found: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
         self.k = []
         for t, words in enumerate(self.words):
-            own = min(k, len(words))
+            own = 1 if len(words) < SHORT else k
             self.k.append(own)
-            grams = _grams(words, own) if own else []
-            for i in winnow(grams) if own else ():
-                found[own][int(grams[i])].append((t, i))
+            if own == k:
+                grams = _grams(words, k)
+                for i in winnow(grams):
+                    found[k][int(grams[i])].append((t, i))
         self.postings = {own: dict(x) for own, x in found.items()}
         self.sorted = {own: np.array(sorted(x), np.uint64) for own, x in found.items()}
+        self.anchors: dict[float, tuple[np.ndarray, dict[int, list[tuple[int, int]]]]] = {}
+
+    def anchored(self, coverage: float) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]]]:
+        """Sorted words and where they stand in short templates: of each the longest, one more than may be missing."""
+        if coverage not in self.anchors:
+            found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            for t, (words, size) in enumerate(zip(self.words, self.sizes, strict=True)):
+                if self.k[t] == 1 and len(words):
+                    order = sorted(range(len(words)), key=lambda i: (-size[i], i))
+                    for i in order[: len(words) - least_words(len(words), coverage) + 1]:
+                        found[int(words[i])].append((t, i))
+            self.anchors[coverage] = np.array(sorted(found), np.uint64), dict(found)
+        return self.anchors[coverage]
+
+
+def least_words(n: int, coverage: float) -> int:
+    """The fewest of n words, one at least, whose share reaches the coverage."""
+    return next((i for i in range(1, n) if i / n >= coverage), n)
+
+
+def _plausible(places, template: np.ndarray, diagonals: np.ndarray, need: int, band: int) -> np.ndarray:
+    """True for diagonals that have `need` of the template's words, repeats counted, within the band around them.
+
+    `places` gives the sorted places of a word.
+    """
+    lo, hi = diagonals - band, diagonals + len(template) + band
+    total = np.zeros(len(diagonals), np.int64)
+    for word, n in zip(*np.unique(template, return_counts=True), strict=True):
+        at = places(int(word))
+        total += np.minimum(np.searchsorted(at, hi) - np.searchsorted(at, lo), n)
+    return total >= need
+
+
+def _anchor_hits(w: WordHashes, index: Index, coverage: float, band: int):
+    """(text, short template, place in the text, place in the template) of each word that may begin a find."""
+    known, postings = index.anchored(coverage)
+    if not len(known) or not len(w.hash):
+        return
+    slot = np.searchsorted(known, w.hash)
+    slot[slot == len(known)] = 0
+    at = np.flatnonzero(known[slot] == w.hash)
+    if not len(at):
+        return
+    at = at[np.argsort(slot[at], kind="stable")]
+    slots, begin = np.unique(slot[at], return_index=True)
+    places = functools.cache(lambda word: np.flatnonzero(w.hash == np.uint64(word)))
+    for x, own in zip(slots.tolist(), np.split(at, begin[1:]), strict=True):
+        for t, y in postings[int(known[x])]:
+            need = least_words(len(index.words[t]), coverage)
+            good = own[_plausible(places, index.words[t], own - y, need, band)]
+            text = np.searchsorted(w.first, good, side="right") - 1
+            for place, d in zip(good.tolist(), text.tolist(), strict=True):
+                yield d, t, place - int(w.first[d]), y
 
 
 def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> list[tuple[int, int]]:
@@ -160,6 +224,8 @@ def scan(texts: list[bytes], index: Index, coverage: float = 0.8, band: int = 12
             for place, d in zip(at[whole].tolist(), doc[whole].tolist(), strict=True):
                 for t, word in index.postings[k][int(grams[place])]:
                     hits[d, t].append((place - int(w.first[d]), word))
+        for d, t, place, word in _anchor_hits(w, index, coverage, band):
+            hits[d, t].append((place, word))
         found: list[list[dict]] = [[] for _ in range(j - i)]
         for (d, t), pairs in sorted(hits.items()):
             words, template = w.hash[w.first[d] : w.first[d + 1]], index.words[t]

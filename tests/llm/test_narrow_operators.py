@@ -160,6 +160,27 @@ def test_license_altered_repeats_that_stand_together_are_all_found():
     assert [m["start"] for m in found] == [i * (len(altered) + 1) for i in range(50)] and {m["coverage"] for m in found} == {0.875}
 
 
+def test_license_short_templates_are_found_however_their_words_are_parted():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    assert [(m["license"], m["coverage"]) for m in license_scan.scan([b"x Released under the new MIT License y"], index)[0]] == [("MIT-line", 1.0)]
+    assert license_scan.scan([b"none of these words", b""], index) == [[], []]
+    rng, missed = random.Random(3), 0
+    for t, name in enumerate(index.names):
+        m = len(index.words[t])
+        if m >= license_scan.SHORT:
+            continue
+        own = license_scan.TEMPLATES[name].replace(".", " ").split()
+        for _ in range(40):
+            lost = set(rng.sample(range(len(own)), rng.randint(0, len(own) // 5)))
+            parted = set(rng.sample(range(len(own)), rng.randint(0, min(8, len(own)))))
+            text = " ".join(["zz"] * 30 + [w + " qq" * (i in parted) for i, w in enumerate(own) if i not in lost] + ["zz"] * 30).encode()
+            words = license_scan.WordHashes([text], license_scan._SEPARATOR).hash
+            best = max(len(license_scan.align(index.words[t], words, d, 12)) for d in range(15, 45)) / m
+            got = [x["coverage"] for x in license_scan.scan([text], index)[0] if x["license"] == name]
+            missed += best >= 0.8 and got != [best]
+    assert missed == 0
+
+
 def test_license_query_shape(spark):
     rows = docs(spark, [(1, "Licensed under CC BY-NC 4.0.", "en"), (None, None, None), (1, "é Released under the MIT License.", "en")])
     got = license_scan.license_matches(rows).collect()
