@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without a letter and those of which no language has three tenths of the letters."""
+    """Drop texts without a letter, in no learned language, or of which no language has three tenths of the letters."""
     return language_id.drop_unsure_language(docs, language_id.fit(docs))
 
 

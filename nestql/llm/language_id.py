@@ -81,10 +81,13 @@ class Words:
 
 
 class Model:
-    """Languages in order, a score per trigram and word bucket and language, and each language's scripts."""
+    """Languages in order, a score per trigram and word bucket and language, and each language's scripts.
 
-    def __init__(self, langs: list[str], trigram: np.ndarray, word: np.ndarray, scripts: np.ndarray):
-        self.langs, self.trigram, self.word, self.scripts = langs, trigram, word, scripts
+    `known` is the log of how much likelier each trigram bucket is in the learned texts than by chance.
+    """
+
+    def __init__(self, langs: list[str], trigram: np.ndarray, word: np.ndarray, scripts: np.ndarray, known: np.ndarray):
+        self.langs, self.trigram, self.word, self.scripts, self.known = langs, trigram, word, scripts, known
 
 
 def _count_rows(batches):
@@ -128,7 +131,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         parts.append((np.log(p) - np.log(p).mean(1, keepdims=True)).astype(np.float32) if langs else p.astype(np.float32))
     seen = counts[2 * BUCKETS :]
     scripts = np.array([sum(1 << s for s in range(len(SCRIPTS)) if seen[s, k] > 0.01 * seen[:, k].sum()) for k in range(len(langs))], np.int64)
-    return Model(langs, parts[0], parts[1], scripts)
+    seen_by_all = counts[:BUCKETS].sum(1)
+    known = np.log((seen_by_all + 0.5) / (seen_by_all.sum() + 0.5 * BUCKETS) * BUCKETS).astype(np.float32)
+    return Model(langs, parts[0], parts[1], scripts, known)
 
 
 def _viterbi(score: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
@@ -209,6 +214,20 @@ def language_spans(text: str, model: Model, penalty: float = 6.0) -> list[tuple[
     return [(len(data[:a].decode("utf-8", "replace")), len(data[:b].decode("utf-8", "replace")), k) for a, b, k in out]
 
 
+def familiarity(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the number of trigrams in its words, and the mean log of how much likelier than chance they are."""
+    sizes, means = [], []
+    for i, j in chunks_by_size(texts, CHUNK):
+        w = Words(texts[i:j])
+        total = np.concatenate(([0.0], np.cumsum(model.known[w.trigram], dtype=np.float64)))
+        inside = np.concatenate(([0.0], np.cumsum(total[w.end] - total[w.start])))
+        letters = np.concatenate(([0], np.cumsum(w.end - w.start)))
+        n = np.diff(letters[w.first])
+        sizes.append(n)
+        means.append(np.diff(inside[w.first]) / np.maximum(n, 1))
+    return (np.concatenate(sizes), np.concatenate(means)) if sizes else (np.zeros(0, np.int64), np.zeros(0))
+
+
 def languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 6.0, spans: bool = False) -> DataFrame:
     """One row (id, held_out, lang_pred, score[, spans]) for each row of docs.
 
@@ -233,10 +252,14 @@ def languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     return plain.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def drop_unsure_language(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3, penalty: float = 6.0) -> DataFrame:
+def drop_unsure_language(
+    docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3, penalty: float = 6.0, least_known: float = 0.0, evidence: int = 100
+) -> DataFrame:
     """The rows of docs, with all their columns, of which one language has at least `threshold` of the letters.
 
-    Texts of two or three languages stay; null texts, those without a letter, and medleys go.
+    Texts of two or three languages stay; null texts, those without a letter, and medleys go. The share is among
+    the learned languages, so texts whose trigrams are on average no likelier in these than by chance go too
+    (`least_known`): gibberish and other languages. Words of fewer than `evidence` bytes are too few to tell.
     """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
@@ -244,6 +267,8 @@ def drop_unsure_language(docs: DataFrame, model: Model, text_col: str = "text",
         for batch in batches:
             texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
             langs, score = predict_texts(texts, shared.value, penalty)
-            yield batch.filter(pa.array((score >= threshold) & np.array([x != UNKNOWN for x in langs], bool), pa.bool_()))
+            n, known = familiarity(texts, shared.value)
+            sure = (score >= threshold) & ((known >= least_known) | (n < evidence))
+            yield batch.filter(pa.array(sure & np.array([x != UNKNOWN for x in langs], bool), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

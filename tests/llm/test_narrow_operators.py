@@ -263,6 +263,16 @@ def test_language_spans_of_mixed_text(spark, model):
     assert {r.doc_id for r in language_id.drop_unsure_language(odd, model).collect()} == {1, 5, 6, None}
 
 
+def test_language_stage_drops_junk_and_unlearned_languages(spark, model):
+    rng = random.Random(8)
+    junk = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(60))
+    polish = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa"
+    mixed = sentence(rng, "en", 40) + " " + sentence(rng, "ru", 40)
+    rows = [(1, junk, None), (2, polish, None), (3, mixed, None), *((10 + i, sentence(rng, x, 60), x) for i, x in enumerate(sorted(VOCABULARY))), (4, "zzqx", None)]
+    assert all(r.score > 0.3 for r in language_id.languages(docs(spark, rows), model).collect())
+    assert {r.doc_id for r in language_id.drop_unsure_language(docs(spark, rows), model).collect()} == {3, 4, 10, 11, 12}
+
+
 def test_language_viterbi_equals_brute_force():
     rng = language_id.np.random.default_rng(5)
     score, first = rng.normal(size=(30, 3)), language_id.np.array([0, 0, 1, 13, 30])
