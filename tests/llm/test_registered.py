@@ -58,3 +58,9 @@ def test_pipeline_keeps_what_each_operator_keeps(spark):
         assert sorted(r.doc_id for r in rows) == sorted(want)
         assert 0 < len(rows) <= n
         n = len(rows)
+
+
+@pytest.mark.skipif(not os.path.exists(PIECE_MODEL), reason="no piece model here")
+def test_pipeline_reads_its_stages_from_parquet(spark):
+    files = corpus_pipeline.run(spark, SF).inputFiles()
+    assert files and all("/decontamination-" in f and f.endswith(".parquet") for f in files)
