@@ -179,11 +179,37 @@ def near_duplicates(
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs, all columns, without those whose group has a smaller id.
 
-    Rows that repeat a kept id are copies too: the one with the smallest text stays. Null ids all stay.
+    Rows that repeat a kept id are compared too: of equal texts and of near copies within an id one stays, other
+    texts all stay, and a row without text only where its id has none with text. Null ids all stay. An id whose
+    group has a smaller one goes with all its rows, as rows of one id are one node of the groups.
     """
-    key = free_name(docs, "kept_id")
+    key, text, number = free_name(docs, "kept_id"), free_name(docs, "kept_text"), free_name(docs, "kept_number")
     kept = near_duplicates(docs, id_col, text_col, **how).where("kept").select(F.col(id_col).alias(key)).where(F.col(key).isNotNull()).distinct()
     stay = docs.join(kept, docs[id_col].cast("long") == F.col(key), "left_semi")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    once = stay.groupBy(F.col(id_col).cast("long").alias(key)).agg(F.min_by(row, F.coalesce(F.col(text_col), F.lit(""))).alias("row")).select("row.*")
-    return once.unionByName(docs.where(F.col(id_col).isNull()))
+    said = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    once = stay.groupBy(F.col(id_col).cast("long").alias(key)).agg(F.min_by(row, F.struct(said == "", said)).alias("row"))
+    nulls = docs.where(F.col(id_col).isNull())
+
+    digest = F.xxhash64(said)
+    several = cut(
+        docs.where(F.col(id_col).isNotNull() & (said != ""))
+        .groupBy(F.col(id_col).cast("long").alias(key))
+        .agg(F.min(digest).alias("low"), F.max(digest).alias("high"))
+        .where("low <> high")
+        .select(key)
+    )
+    if several.isEmpty():
+        return once.select("row.*").unionByName(nulls)
+    texts = cut(
+        stay.where(said != "")
+        .select(F.col(id_col).cast("long").alias(key), said.alias(text), row.alias("row"))
+        .join(several, key, "left_semi")
+        .groupBy(key, text)
+        .agg(F.min_by("row", F.to_json("row")).alias("row"))
+        .withColumn(number, F.xxhash64(key, text))
+    )
+    # kept ids are near copies of no other kept id, so these groups stay within an id
+    other = near_duplicates(texts, number, text, **how).where("kept").select(number)
+    rows = texts.join(other, number, "left_semi").select("row.*")
+    return once.join(several, key, "left_anti").select("row.*").unionByName(rows).unionByName(nulls)

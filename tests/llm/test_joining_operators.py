@@ -90,6 +90,20 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert minhash_dedup.near_duplicates(df.limit(0)).count() == 0 and minhash_dedup.deduplicate(df.limit(0)).count() == 0
 
 
+def test_deduplicate_keeps_different_texts_of_one_id(spark):
+    rng = random.Random(6)
+    first, second = (" ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(90)) for _ in range(60)) for _ in range(2))
+    near = first + " end"
+    rows = [(1, first), (1, second), (1, near), (1, first), (1, None), (1, ""), (2, None), (2, "short"), (3, None), (3, ""), (4, first), (5, second), (6, "other"), (6, "two words")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, kept_id string")
+    got = minhash_dedup.deduplicate(df, percent=80)
+    assert got.columns == df.columns
+    found = sorted((r.doc_id, r.text or "") for r in got.collect())
+    ones = [t for i, t in found if i == 1]
+    assert len(ones) == 2 and second in ones and (first in ones) != (near in ones)
+    assert found[2:] == [(2, "short"), (3, ""), (6, "other"), (6, "two words")]
+
+
 def test_shingle_sets_count_as_plain_python():
     texts = [t or "" for _, t, *_ in near_rows()]
     assert [len(s) for s in shingle_sets([t.encode() for t in texts])] == [len(shingles(t)) for t in texts]
