@@ -244,6 +244,19 @@ def test_lattice_equals_the_fold_in_tasks(spark, kind):
         assert [i for p in r.pieces for i in sentencepiece._leaf_ids(model, p)] == sentencepiece.fold(r.word, model)
 
 
+@needs_model
+@pytest.mark.parametrize("max_frequent", [0, 3, 20])
+def test_pieces_equal_the_library_with_few_words_in_the_lattice(spark, max_frequent):
+    import sentencepiece as library
+
+    model, texts = sentencepiece.Pieces.read(MODEL), odd_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = sentencepiece.codebook(df, model, max_frequent=max_frequent)
+    assert len(known) <= max_frequent and (known or max_frequent < 20)
+    rows = sorted(sentencepiece.encode(df, model, max_frequent=max_frequent).collect())
+    assert [r.ids for r in rows] == library.SentencePieceProcessor(model_file=MODEL).encode(texts)
+
+
 @needs_model
 def test_chunks_in_sql_equal_chunks_in_python(spark):
     texts = odd_texts(80)
