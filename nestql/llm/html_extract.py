@@ -3,6 +3,9 @@
 The first pass splits a page into blocks and decides them: what stands in a boilerplate container is out;
 else length, stop-word density and link density say good, bad or ambiguous. The second pass gives each
 ambiguous block the label of its nearest decided neighbours. Kept blocks are never shortened.
+
+Stop words are known of four languages. On a page that none of them fits, length and link density decide alone; on
+a page of several languages, blocks in one without a list are still taken for bad.
 """
 
 from __future__ import annotations
@@ -173,6 +176,11 @@ def stop_density(text: str) -> float:
     return max(sum(w in s for w in words) for s in _STOPS.values()) / len(words) if words else 0.0
 
 
+def language_fits(items: list[Block], short: int = 70, low: float = 0.15) -> bool:
+    """Whether a list of stop words fits what the page says in its blocks of some length outside boilerplate and links."""
+    return stop_density(" ".join(b.text for b in items if not b.out and len(b.text) >= short and b.linked <= 0.2 * len(b.text))) >= low
+
+
 def link_lists(items: list[Block], least: int = 3, most_said: float = 0.1) -> list[bool]:
     """Whether each block is nothing but links, at least `least` of them by itself or together with the list items beside it."""
     found = []
@@ -183,8 +191,8 @@ def link_lists(items: list[Block], least: int = 3, most_said: float = 0.1) -> li
     return found
 
 
-def classify(b: Block, listed: bool, max_link: float = 0.5, short: int = 70, long: int = 200, low: float = 0.15, high: float = 0.25) -> int:
-    """The first pass; `listed` tells whether the block is part of a list of links.
+def classify(b: Block, listed: bool, fits: bool = True, max_link: float = 0.5, short: int = 70, long: int = 200, low: float = 0.15, high: float = 0.25) -> int:
+    """The first pass; `listed` tells whether the block is part of a list of links, `fits` whether stop words can tell.
 
     In an element that marks the article such lists are out; its other linked blocks and its short ones are in doubt.
     """
@@ -197,6 +205,8 @@ def classify(b: Block, listed: bool, max_link: float = 0.5, short: int = 70, lon
         return BAD if density > 0.2 and not b.main else SHORT
     if b.main:
         return GOOD
+    if not fits:
+        return GOOD if density <= 0.2 else NEAR
     stops = stop_density(b.text)
     if stops >= high:
         return GOOD if len(b.text) > long else NEAR
@@ -245,7 +255,8 @@ def main_text(page: str | None) -> str:
     items = blocks(page or "")
     if any(b.main and not b.out for b in items):  # a page that marks its article has it there alone
         items = [b for b in items if b.main]
-    keep = resolve([classify(b, listed) for b, listed in zip(items, link_lists(items), strict=True)], items)
+    fits = all(b.main or b.out for b in items) or language_fits(items)
+    keep = resolve([classify(b, listed, fits) for b, listed in zip(items, link_lists(items), strict=True)], items)
     return "\n\n".join(b.text for b, k in zip(items, keep, strict=True) if k)
 
 

@@ -53,6 +53,14 @@ def test_html_article_keeps_linked_headlines_paragraphs_and_references():
     assert html_extract.main_text(f"<body><nav><a href='/'>Top</a></nav>{article}</body>") == "\n\n".join(want)
 
 
+def test_html_unmarked_page_in_a_language_without_stop_words():
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto."
+    chinese = "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待" * 3
+    for text in (finnish, finnish * 3, chinese):
+        page = f"<body><div><a href='/a'>Etusivu</a> <a href='/b'>Uutiset</a></div><h1>Otsikko</h1><p>{text}</p><p>{text}</p><div><a href='/c'>Yhteystiedot</a></div></body>"
+        assert html_extract.main_text(page) == "\n\n".join(["Otsikko", text, text])
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<<>><p", "<!-- open", "<script>open", "a < b", "<p class='x", "<a href=\"x>y", "&#0;&#xD800;&bogus;", "</p></div></body>", "<p>" * 3000])
 def test_html_odd_pages(page):
     assert isinstance(html_extract.main_text(page), str)
