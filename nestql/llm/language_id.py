@@ -215,13 +215,19 @@ def language_spans(text: str, model: Model, penalty: float = 6.0) -> list[tuple[
 
 
 def familiarity(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text the number of trigrams in its words, and the mean log of how much likelier than chance they are."""
+    """Of each text the number of trigrams in its words, and the mean log of how much likelier than chance they are.
+
+    Words with a digit, such as keys and tokens, are in no language and do not count.
+    """
     sizes, means = [], []
     for i, j in chunks_by_size(texts, CHUNK):
         w = Words(texts[i:j])
         total = np.concatenate(([0.0], np.cumsum(model.known[w.trigram], dtype=np.float64)))
-        inside = np.concatenate(([0.0], np.cumsum(total[w.end] - total[w.start])))
-        letters = np.concatenate(([0], np.cumsum(w.end - w.start)))
+        data = np.frombuffer(b"\n".join(texts[i:j]), np.uint8)
+        digits = np.concatenate(([0], np.cumsum((data >= 48) & (data <= 57))))
+        plain = digits[w.end] == digits[w.start]
+        inside = np.concatenate(([0.0], np.cumsum((total[w.end] - total[w.start]) * plain)))
+        letters = np.concatenate(([0], np.cumsum((w.end - w.start) * plain)))
         n = np.diff(letters[w.first])
         sizes.append(n)
         means.append(np.diff(inside[w.first]) / np.maximum(n, 1))

@@ -281,6 +281,12 @@ def test_language_stage_drops_junk_and_unlearned_languages(spark, model):
     assert {r.doc_id for r in language_id.drop_unsure_language(docs(spark, rows), model).collect()} == {3, 4, 10, 11, 12}
 
 
+def test_language_stage_keeps_texts_with_keys(spark, model):
+    rng = random.Random(9)
+    text = sentence(rng, "en", 6) + " " + " ".join("%040x" % rng.getrandbits(160) for _ in range(4))
+    assert language_id.drop_unsure_language(docs(spark, [(1, text, "en")]), model).count() == 1
+
+
 def test_language_viterbi_equals_brute_force():
     rng = language_id.np.random.default_rng(5)
     score, first = rng.normal(size=(30, 3)), language_id.np.array([0, 0, 1, 13, 30])
