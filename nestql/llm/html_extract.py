@@ -35,10 +35,13 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _OUT_TAGS = frozenset("nav footer aside form menu dialog".split())
 _MAIN_TAGS = frozenset(("article", "main"))
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of class, id and role attributes that name boilerplate.
+#: Names in class, id and role attributes that mean boilerplate, alone or as a word of a compound name.
 _OUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget complementary contentinfo alert alertdialog tags".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget complementary contentinfo alert alertdialog tags".split()
 )
+#: First and last words of compound names that tell of a state, a layout or a whole page (has-sidebar, no-comments, search-page).
+_STATE_FIRST = frozenset("has no not with without is hide show overflow".split())
+_STATE_LAST = frozenset("layout page template article story main enabled disabled open closed on off active visible theme support".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/><]*)((?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/><]*)([^<>]*)>", re.S
@@ -51,6 +54,16 @@ _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 GOOD, BAD, SHORT, NEAR = 1, 0, 2, 3
 
 
+def _names_out(names: str) -> bool:
+    for name in names.split():
+        if name.lower() in _OUT_WORDS or name == "hidden":
+            return True
+        words = [w for w in _SPLIT.split(_CAMEL.sub("-", name).lower()) if w]
+        if len(words) > 1 and words[0] not in _STATE_FIRST and words[-1] not in _STATE_LAST and not _OUT_WORDS.isdisjoint(words):
+            return True
+    return False
+
+
 def _says_out(attributes: str) -> bool:
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
@@ -59,11 +72,60 @@ def _says_out(attributes: str) -> bool:
         if name == "style":
             if "display:none" in value.lower().replace(" ", ""):
                 return True
-        elif name != "aria-hidden" and not _OUT_WORDS.isdisjoint(_SPLIT.split(_CAMEL.sub("-", value).lower())):
+        elif name != "aria-hidden" and _names_out(value):
             return True
     return False
 
 
+class _Open:
+    """The open containers, innermost last, each with whether it or one around it is boilerplate, and marks the article."""
+
+    def __init__(self):
+        self.stack: list[list] = []  # tag, boilerplate by its tag, by its attributes; the same of all around it; main of all
+        self.depth: dict[str, int] = {}
+        self.named = 0  # containers that are boilerplate by their attributes
+
+    def push(self, tag: str, by_tag: bool, by_name: bool, main: bool) -> None:
+        self.stack.append([tag, by_tag, by_name, self.out or by_tag or by_name, self.main or main])
+        self.depth[tag] = self.depth.get(tag, 0) + 1
+        self.named += by_name
+
+    def pop(self) -> str:
+        tag, _, by_name, _, _ = self.stack.pop()
+        self.depth[tag] -= 1
+        self.named -= by_name
+        return tag
+
+    def close(self, tag: str) -> bool:
+        """Close the innermost container of this tag and all in it, if there is one."""
+        if not self.depth.get(tag):
+            return False
+        while self.pop() != tag:
+            pass
+        return True
+
+    def forgive(self) -> None:
+        """Judge the open containers by their tags alone."""
+        if self.named:
+            out = False
+            for entry in self.stack:
+                out = out or entry[1]
+                entry[2], entry[3] = False, out
+            self.named = 0
+
+    @property
+    def last(self) -> str:
+        return self.stack[-1][0] if self.stack else ""
+
+    @property
+    def out(self) -> bool:
+        return bool(self.stack) and self.stack[-1][3]
+
+    @property
+    def main(self) -> bool:
+        return bool(self.stack) and self.stack[-1][4]
+
+
 class Block:
     __slots__ = ("text", "linked", "links", "said", "out", "main", "heading", "item")
 
@@ -72,14 +134,17 @@ class Block:
         self.links, self.said = links, said  # how many links hold text; share of the letters and digits outside them
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks in order: text with references decoded and white space made single, and what is known of each."""
+def blocks(page: str, forgiving: bool = False) -> list[Block]:
+    """The page's blocks in order: text with references decoded and white space made single, and what is known of each.
+
+    If `forgiving`, the containers around an element that marks an article are judged by their tags and not by their names.
+    """
     found: list[Block] = []
     parts: list[str] = []
     link_parts: list[str] = []
     links = 0
-    stack: list[tuple[str, bool, bool]] = []  # open containers: tag, boilerplate, main
-    out = main = in_link = fresh = False
+    around = _Open()
+    in_link = fresh = False
     heading = item = False
 
     def flush():
@@ -92,7 +157,7 @@ def blocks(page: str) -> list[Block]:
                     in_links = " ".join(html.unescape("".join(link_parts)).split())
                     linked = len(in_links)
                     said = 1 - sum(map(str.isalnum, in_links)) / max(1, sum(map(str.isalnum, text)))
-                found.append(Block(text, linked, max(links, linked > 0), said, out, main, heading, item))
+                found.append(Block(text, linked, max(links, linked > 0), said, around.out, around.main, heading, item))
             parts.clear()
             link_parts.clear()
             links = 0
@@ -129,13 +194,10 @@ def blocks(page: str) -> list[Block]:
         if tag not in _BLOCK:
             if not closing and attributes and tag not in _VOID and tag != "a" and _says_out(attributes):
                 flush()
-                stack.append((tag, True, main))
-                out = True
-            elif closing and any(s[0] == tag for s in stack):
+                around.push(tag, False, True, False)
+            elif closing and around.depth.get(tag):
                 flush()
-                while stack.pop()[0] != tag:
-                    pass
-                out, main = any(s[1] for s in stack), any(s[2] for s in stack)
+                around.close(tag)
             continue
         flush()
         in_link = in_link and tag in ("div", "p", "h1", "h2", "h3", "h4", "h5", "h6")
@@ -150,23 +212,17 @@ def blocks(page: str) -> list[Block]:
         elif tag in ("ul", "ol", "dl"):
             item = False
         if closing:
-            if any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
-                out, main = any(s[1] for s in stack), any(s[2] for s in stack)
-        elif tag not in ("p", "li", "dt", "dd", "tr") or attributes:
-            bad = tag in _OUT_TAGS or tag == "header" and not main or tag not in ("html", "body", "article", "main") and bool(attributes) and _says_out(attributes)
-            if tag in ("p", "li", "dt", "dd", "tr"):
-                while stack and stack[-1][0] == tag:  # end tags may be missing
-                    stack.pop()
-                if not bad:
-                    out, main = any(s[1] for s in stack), any(s[2] for s in stack)
-                    continue
-            stack.append((tag, bad, tag in _MAIN_TAGS))
-            out, main = any(s[1] for s in stack), any(s[2] for s in stack)
-        elif stack and stack[-1][0] == tag:
-            stack.pop()
-            out, main = any(s[1] for s in stack), any(s[2] for s in stack)
+            around.close(tag)
+        elif tag not in ("p", "li", "dt", "dd", "tr"):
+            if tag in _MAIN_TAGS and forgiving:
+                around.forgive()
+            by_name = tag not in ("html", "body", "article", "main") and bool(attributes) and _says_out(attributes)
+            around.push(tag, tag in _OUT_TAGS or tag == "header" and not around.main, by_name, tag in _MAIN_TAGS)
+        else:
+            while around.last == tag:  # end tags may be missing
+                around.pop()
+            if attributes and _says_out(attributes):
+                around.push(tag, False, True, False)
     flush()
     return found
 
@@ -203,11 +259,11 @@ def classify(b: Block, listed: bool, fits: bool = True, max_link: float = 0.5, s
         return SHORT if b.main and (b.heading or not listed) else BAD
     if b.heading or len(b.text) < short:
         return BAD if density > 0.2 and not b.main else SHORT
-    if b.main:
-        return GOOD
     if not fits:
         return GOOD if density <= 0.2 else NEAR
     stops = stop_density(b.text)
+    if b.main:
+        return GOOD if stops >= low else NEAR
     if stops >= high:
         return GOOD if len(b.text) > long else NEAR
     return NEAR if stops >= low else BAD
@@ -251,15 +307,22 @@ def resolve(labels: list[int], items: list[Block]) -> list[bool]:
     return keep
 
 
-def main_text(page: str | None) -> str:
-    items = blocks(page or "")
+def _kept(items: list[Block]) -> str:
     if any(b.main and not b.out for b in items):  # a page that marks its article has it there alone
         items = [b for b in items if b.main]
-    fits = all(b.main or b.out for b in items) or language_fits(items)
+    fits = language_fits(items)
     keep = resolve([classify(b, listed, fits) for b, listed in zip(items, link_lists(items), strict=True)], items)
     return "\n\n".join(b.text for b, k in zip(items, keep, strict=True) if k)
 
 
+def main_text(page: str | None) -> str:
+    items = blocks(page or "")
+    text = _kept(items)
+    if not text and any(b.main for b in items):  # a name has put the whole article out
+        text = _kept(blocks(page or "", forgiving=True))
+    return text
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row (id, url, text, n_chars) for each row of pages; n_chars counts code points.
 
