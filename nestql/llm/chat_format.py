@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,6 +50,7 @@ class Grammar:
         self._control = re.compile(f"(?:{tails})")
         self._plain = re.compile("|".join(re.escape(c) for c in template.controls()))
         self._roles = {r: (a, b) for r, a, b in template.roles}
+        self._longest = max(len(m) for m in [template.other[0], *(m for _, m, _ in template.roles)])
 
     def escape(self, text: str) -> str:
         return self._control.sub(lambda m: m[0][0] + "\\" + m[0][1:], text)
@@ -84,37 +86,63 @@ class Grammar:
 
     def parse(self, rendered: str):
         """(role, text, start, end) of each turn, or ValueError where the text is none of the grammar's."""
-        at = 0
-        while at < len(rendered):
-            for role, a, b in self.template.roles:
-                if rendered.startswith(a, at):
-                    begin, close = at + len(a), b
-                    break
-            else:
-                a, b, close = self.template.other
-                end = rendered.find(b, at)
-                if not rendered.startswith(a, at) or end < 0:
-                    raise ValueError(f"no turn begins at {at}")
-                role = self.unescape(rendered[at + len(a) : end].replace("%5D", "]").replace("%25", "%"))
-                begin = end + len(b)
-            raw = not rendered.startswith(self.template.escaped, begin)
-            begin += 0 if raw else len(self.template.escaped)
-            end = rendered.find(close, begin)
+        reader = Reader(self)
+        yield from ((role, text, start, end) for role, text, start, end, _ in reader.feed(rendered))
+        reader.finish()
+
+    def opening(self, buffer: str, at: int) -> tuple[str, int, str] | None:
+        """(role, where its turn's text or mark begins, closing marker); None if the buffer ends too early to tell."""
+        for role, a, b in self.template.roles:
+            if buffer.startswith(a, at):
+                return role, at + len(a), b
+        a, b, close = self.template.other
+        rest = buffer[at : at + self._longest]
+        if buffer.startswith(a, at):
+            end = buffer.find(b, at)
+            if end < 0:
+                return None
+            role = self.unescape(buffer[at + len(a) : end].replace("%5D", "]").replace("%25", "%"))
+            return role, end + len(b), close
+        if any(m.startswith(rest) for m in [a, *(m for _, m, _ in self.template.roles)]):
+            return None
+        raise ValueError(f"no turn begins at {at}")
+
+
+class Reader:
+    """Parses a formatted conversation that comes in parts, however it is cut; holds no more than a part and an open turn."""
+
+    def __init__(self, grammar: Grammar):
+        self.grammar, self.buffer, self.before, self.looked = grammar, "", 0, 0
+
+    def feed(self, part: str):
+        """(role, text, start, end, raw text) of each turn that this part completes; places are those in the whole conversation."""
+        self.buffer += part
+        g, at, buffer = self.grammar, 0, self.buffer
+        while at < len(buffer):
+            found = g.opening(buffer, at)
+            if found is None:
+                break
+            role, begin, close = found
+            end = buffer.find(close, max(begin, self.looked))
             if end < 0:
-                raise ValueError(f"the turn at {at} does not end")
-            body = rendered[begin:end]
-            yield role, body if raw else self.unescape(body), begin, end
+                self.looked = max(begin, len(buffer) - len(close) + 1) - at
+                break
+            self.looked = 0
+            escaped = buffer.startswith(g.template.escaped, begin)
+            begin += len(g.template.escaped) if escaped else 0
+            if end < begin:
+                raise ValueError(f"the turn at {self.before + at} ends in its mark")
+            raw = buffer[begin:end]
+            yield role, g.unescape(raw) if escaped else raw, self.before + begin, self.before + end, raw
             at = end + len(close)
+        self.buffer, self.before = buffer[at:], self.before + at
 
+    def finish(self) -> None:
+        if self.buffer:
+            raise ValueError(f"the turn at {self.before} does not end")
 
-def _ordered(conversations: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    rows = conversations.select(
-        F.col(conv_col).cast("long").alias("conv_id"),
-        F.col(turn_col).cast("long").alias("turn"),
-        F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-    )
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+
+_FORMATTED = "conv_id long, turn long, role string, rendered string, text_start long, text_end long, learnt boolean, escaped_text string"
 
 
 def format_turns(
@@ -125,45 +153,81 @@ def format_turns(
     role_col: str = "role",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row (conv_id, turn, rendered, loss_start, loss_end) for each row: a conversation is its rendered turns in order.
+    """One row (conv_id, turn, role, rendered, text_start, text_end, learnt, escaped_text) for each row, in no order.
 
-    The loss mask covers loss_start to loss_end, in characters of `rendered`; it is null for roles that are
-    not learnt. Null texts and roles are empty ones; rows without a conversation id form one conversation
-    of their own. Turns of equal number are ordered by role, then text. Other columns are ignored.
+    A conversation is its rendered turns in the order of `in_order`. The turn's text stands from text_start to text_end, in characters of
+    `rendered`, and is under the loss mask if `learnt`; `escaped_text` is the text itself where it had to be escaped, else null.
+    Null texts and roles are empty ones; rows without a conversation id form one conversation of their own. Rows are
+    rendered one by one, so repeats stay repeats and nothing is shuffled. Other columns are ignored.
     """
 
     def run(batches):
         grammar = Grammar(template)
         for batch in batches:
-            rendered, start, end = [], [], []
-            for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            rendered, start, end, escaped = [], [], [], []
+            roles = batch.column(2).to_pylist()
+            for role, text in zip(roles, batch.column(3).to_pylist(), strict=True):
                 out, a, b = grammar.render(role, text)
                 rendered.append(out)
-                start.append(a if role in template.learn else None)
-                end.append(b if role in template.learn else None)
+                start.append(a)
+                end.append(b)
+                escaped.append(None if b - a == len(text) else text)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(rendered, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
-                ["conv_id", "turn", "rendered", "loss_start", "loss_end"],
+                [
+                    *batch.columns[:3],
+                    pa.array(rendered, pa.string()),
+                    pa.array(start, pa.int64()),
+                    pa.array(end, pa.int64()),
+                    pa.array([r in template.learn for r in roles], pa.bool_()),
+                    pa.array(escaped, pa.string()),
+                ],
+                ["conv_id", "turn", "role", "rendered", "text_start", "text_end", "learnt", "escaped_text"],
             )
 
-    rows = _ordered(conversations, conv_col, turn_col, role_col, text_col)
-    return rows.mapInArrow(run, "conv_id long, turn long, rendered string, loss_start long, loss_end long")
+    rows = conversations.select(
+        F.col(conv_col).cast("long").alias("conv_id"),
+        F.col(turn_col).cast("long").alias("turn"),
+        F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+    )
+    return rows.mapInArrow(run, _FORMATTED)
+
+
+def in_order(formatted: DataFrame) -> DataFrame:
+    """Each conversation's turns together in one partition, by number; turns of equal number by role, then text."""
+    text = F.coalesce("escaped_text", F.substr("rendered", F.col("text_start") + 1, F.col("text_end") - F.col("text_start")))
+    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", text)
 
 
 class _Digest:
-    def __init__(self, conv):
+    def __init__(self, conv, grammar: Grammar):
         self.conv, self.turns, self.chars, self.loss_chars = conv, 0, 0, 0
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.reader = Reader(grammar)
+
+    def read(self, part: str, mask: dict[int, int]) -> None:
+        """Take the next part of the conversation; `mask` has the ends of its spans under the loss mask by their starts."""
+        self.chars += len(part)
+        for role, text, start, end, _ in self.reader.feed(part):
+            self.turns += 1
+            self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+            if start in mask:
+                if mask.pop(start) != end:
+                    raise ValueError(f"the loss mask and the turn at {start} of conversation {self.conv} differ")
+                self.loss_chars += len(text)
+                self.loss.update(text.encode("utf-8", "surrogatepass"))
 
     def row(self):
+        self.reader.finish()
         return (self.conv, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars)
 
 
 def digests(formatted: DataFrame, template: Template = Template()) -> DataFrame:
-    """One row for each conversation of format_turns' rows, in their order, read back by the parser.
+    """One row for each conversation of format_turns' rows: what the parser reads back from the whole formatted conversation.
 
-    A conversation streams through its task turn by turn, so its length is not bounded by memory; its
-    digests are over one sequence of bytes and so are not spread over tasks.
+    Rendered turns are put in order and joined, and the grammar alone finds the turns in what comes out; spans of the loss
+    mask must be texts that it found. A conversation streams through its task part by part, so its length is not bounded
+    by memory; its digests are over one sequence of bytes and so are not spread over tasks. Rendering is: it comes before the shuffle.
     """
 
     def run(batches):
@@ -177,25 +241,25 @@ def digests(formatted: DataFrame, template: Template = Template()) -> DataFrame:
 
         for batch in batches:
             done = []
-            columns = [batch.column(i).to_pylist() for i in (0, 2, 3, 4)]
-            for conv, rendered, start, end in zip(*columns, strict=True):
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            for conv, rows in groupby(zip(*columns, strict=True), lambda r: r[0]):
                 if now is None or now.conv != conv:
                     if now is not None:
                         done.append(now.row())
-                    now = _Digest(conv)
-                now.chars += len(rendered)
-                for role, text, begin, stop in grammar.parse(rendered):
-                    now.turns += 1
-                    now.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                    if start is not None:
-                        body = rendered[start:end]
-                        loss = body if (begin, stop) == (start, end) and body == text else grammar.unescape(body)
-                        now.loss_chars += len(loss)
-                        now.loss.update(loss.encode("utf-8", "surrogatepass"))
+                    now = _Digest(conv, grammar)
+                parts, mask, at = [], {}, now.chars
+                for _, rendered, start, end, learnt in rows:
+                    parts.append(rendered)
+                    if learnt:
+                        mask[at + start] = at + end
+                    at += len(rendered)
+                now.read("".join(parts), mask)
+                if mask:
+                    raise ValueError(f"the loss mask of conversation {conv} covers what is no turn's text")
             yield table(done)
         if now is not None:
             yield table([now.row()])
 
-    return formatted.mapInArrow(
+    return in_order(formatted).select("conv_id", "rendered", "text_start", "text_end", "learnt").mapInArrow(
         run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )

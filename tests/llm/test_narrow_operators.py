@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -61,6 +62,39 @@ def test_html_unmarked_page_in_a_language_without_stop_words():
         assert html_extract.main_text(page) == "\n\n".join(["Otsikko", text, text])
 
 
+WRAPPERS = ["overflow-hidden", "has-sidebar", "no-comments", "related-layout", "search-page", "with-nav", "page-layout has-sidebar", "story"]
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+@pytest.mark.parametrize("tag", ["article", "section"])
+def test_html_names_of_states_and_layouts_are_no_boilerplate(name, tag):
+    text = " ".join(["It was the best of times and it was the worst of times in all of the land"] * 5)
+    page = f"<body class='no-comments'><nav><a href='/'>Top</a></nav><div class='{name}'><{tag}><p>{text}</p><p class='{name}'>{text} too</p></{tag}></div></body>"
+    assert html_extract.main_text(page) == f"{text}\n\n{text} too"
+
+
+@pytest.mark.parametrize("name", ["sidebar", "site-nav", "cookie-banner", "sidebar-left", "commentList", "post-comments", "ad", "article-tags"])
+def test_html_names_of_boilerplate(name):
+    text = " ".join(["It was the best of times and it was the worst of times in all of the land"] * 5)
+    for page in (f"<article><p>{text}</p><div class='{name}'>{text}</div></article>", f"<div class='{name}'><p>{text}</p></div><p>{text}</p>"):
+        assert html_extract.main_text(page) == text
+
+
+def test_html_article_in_a_container_named_like_boilerplate():
+    text = " ".join(["It was the best of times and it was the worst of times in all of the land"] * 5)
+    assert html_extract.main_text(f"<div class='widget'><div class='ad'>{text}</div><article><p>{text}</p></article></div>") == text
+    teaser = f"<div class='related'><article><p>Another. {text}</p></article></div>"
+    assert html_extract.main_text(f"<div><p>{text}</p></div>{teaser}") == text
+
+
+def test_html_deep_nesting_is_linear():
+    n = 60_000
+    page = "<div class='x'>" * n + "<p>It was the best of times, it was the worst of times, and there they were in all of it.</p>" + "</div>" * n + "</p></section>" * n
+    begin = time.time()
+    assert html_extract.main_text(page).startswith("It was")
+    assert time.time() - begin < 20
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<<>><p", "<!-- open", "<script>open", "a < b", "<p class='x", "<a href=\"x>y", "&#0;&#xD800;&bogus;", "</p></div></body>", "<p>" * 3000])
 def test_html_odd_pages(page):
     assert isinstance(html_extract.main_text(page), str)
@@ -92,8 +126,11 @@ MARKS = [*GRAMMAR.template.controls(), "<\\s>", "<\\\\/s>", "[\\INST]", "[/INST"
 TEXTS = st.lists(st.sampled_from(MARKS), max_size=8).map("".join)
 
 
+TURNS = st.lists(st.tuples(st.one_of(st.sampled_from(["user", "assistant", "system", ""]), TEXTS), TEXTS), max_size=4)
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.tuples(st.one_of(st.sampled_from(["user", "assistant", "system", ""]), TEXTS), TEXTS), max_size=4))
+@given(TURNS)
 def test_chat_reads_back(turns):
     rendered = [GRAMMAR.render(r, t) for r, t in turns]
     whole = "".join(r for r, _, _ in rendered)
@@ -103,6 +140,28 @@ def test_chat_reads_back(turns):
         assert not any(c in out[a:b] for c in GRAMMAR.template.controls())
 
 
+@settings(max_examples=60, deadline=None)
+@given(TURNS, st.integers(1, 9))
+def test_chat_reads_back_however_it_is_cut(turns, size):
+    whole = "".join(GRAMMAR.render(r, t)[0] for r, t in turns)
+    reader = chat_format.Reader(GRAMMAR)
+    got = [x for i in range(0, len(whole), size) for x in reader.feed(whole[i : i + size])]
+    reader.finish()
+    assert [g[:4] for g in got] == list(GRAMMAR.parse(whole))
+    assert all(whole[a:b] == raw for _, _, a, b, raw in got)
+
+
+def test_chat_long_conversation(spark):
+    n = 30_000
+    texts = [f"text {i} " + ("</s>" if i % 3 == 0 else "") + "y" * (i % 50) for i in range(n)]
+    rows = [(5, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(texts)] + [(6, 0, "user", "x" * 3_000_000 + "</s>")]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    got = {r.conv_id: r for r in chat_format.digests(chat_format.format_turns(conv)).collect()}
+    loss = "".join(texts[1::2])
+    assert (got[5].n_turns, got[5].loss_chars, got[5].loss_sha256) == (n, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert got[6].turns_sha256 == hashlib.sha256(f"user\n{rows[-1][3]}\n".encode()).hexdigest()
+
+
 def test_chat_rejects_other_text():
     for bad in ("x", "<s>[INST] a", "<s>[TURN x", "<s>[INST] a [/INST]x"):
         with pytest.raises(ValueError):
