@@ -15,11 +15,14 @@ it by the same rules, so the bound changes where a chunk is encoded and never it
 
 from __future__ import annotations
 
-import functools
 import re
+from array import array
+from collections import Counter
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +33,8 @@ META = "▁"
 #: Chunks of more characters than this have no bit mask of their boundaries and are folded in the tasks.
 MASK_CHARS = 60
 MAX_FREQUENT = 100_000
+#: Different chunks that a task counts before it passes them on, and most pieces that are sent to every task for the join.
+MAX_COUNTED, MAX_JOINED = 200_000, 500_000
 
 
 class Pieces(NamedTuple):
@@ -154,7 +159,6 @@ def fold(chunk: str, model: Pieces) -> list[int]:
     return fold_bpe(chunk, model) if model.kind == "bpe" else fold_unigram(chunk, model)
 
 
-@functools.cache
 def _chunk_pattern(lone: str) -> re.Pattern:
     return re.compile(f"[{lone}]|{META}*[^{META}{lone}]+|{META}+" if lone else f"{META}*[^{META}]+|{META}+")
 
@@ -164,13 +168,25 @@ def chunks(text: str, lone: str = "") -> list[str]:
     return _chunk_pattern(lone).findall(META + text.replace(" ", META)) if text else []
 
 
-# The relational lattice ------------------------------------------------------------------------------------
+def _plain(text: str) -> bool:
+    """Whether what stands between blanks can be encoded by itself: there are no two blanks together, nor meta symbols."""
+    return "  " not in text and META not in text and text[:1] != " " and text[-1:] != " "
+
 
+def _slices(texts: pa.Array, limit: int = 1 << 21):
+    """Ranges of consecutive texts of about `limit` bytes together."""
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+    begin, size = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if size and size + n > limit:
+            yield begin, i
+            begin, size = i, 0
+        size += n + 64
+    if len(sizes):
+        yield begin, len(sizes)
 
-def chunk_column(text, lone: str = ""):
-    marked = F.concat(F.lit(META), F.replace(text, F.lit(" "), F.lit(META)))
-    parts = F.split(marked, f"(?<=[^{META}])(?={META})" + (f"|(?<=[{lone}])|(?=[{lone}])" if lone else ""))
-    return F.when(F.length(text) > 0, F.filter(parts, lambda p: p != ""))  # a split after the last character leaves an empty part
+
+# The relational lattice ------------------------------------------------------------------------------------
 
 
 def _let(value, body):
@@ -191,7 +207,7 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     spans = words.select("word", F.explode(F.sequence(F.lit(1), n)).alias("at")).select(
         "word", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("at") + 1))).alias("len")
     )
-    joined = spans.withColumn("piece", F.expr("substring(word, at, len)")).join(F.broadcast(pieces), "piece")
+    joined = spans.withColumn("piece", F.expr("substring(word, at, len)")).join(pieces, "piece")
     edge = F.struct((F.col("at") - 1).alias("start"), "len", "score", "id")
     found = joined.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     return words.join(found, "word", "left").select("word", F.coalesce("edges", F.array().cast("array<struct<start:int,len:int,score:double,id:int>>")).alias("edges"))
@@ -263,18 +279,48 @@ def relational_encode(words: DataFrame, model: Pieces) -> DataFrame:
             "id": pa.array([i for _, i in model.piece.values()], pa.int32()),
         }
     )
-    graph = lattice(words, spark.createDataFrame(rows), model.longest)
+    table = spark.createDataFrame(rows)
+    graph = lattice(words, F.broadcast(table) if len(model.piece) <= MAX_JOINED else table, model.longest)
     return folded_bpe(graph) if model.kind == "bpe" else folded_unigram(graph, model.worst)
 
 
+def _counter(lone: str):
+    def run(batches):
+        words: Counter[str] = Counter()  # what stands between single blanks: split once for each different one
+        others: Counter[str] = Counter()
+
+        def flush():
+            for word, n in words.items():
+                for c in chunks(word, lone):
+                    others[c] += n
+            words.clear()
+            rows = [(c, n) for c, n in others.items() if len(c) <= MASK_CHARS]
+            others.clear()
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for lo, hi in _slices(batch.column(0)):
+                for text in batch.column(0).slice(lo, hi - lo).to_pylist():
+                    if _plain(text):
+                        words.update(text.split(" "))
+                    else:
+                        others.update(chunks(text, lone))
+                if len(words) + len(others) >= MAX_COUNTED:
+                    yield flush()
+        yield flush()
+
+    return run
+
+
 def frequent_chunks(docs: DataFrame, text_col: str, max_frequent: int, lone: str = "") -> DataFrame:
     """The most frequent chunks of all texts that the lattice can hold, max_frequent at most.
 
-    Chunks are counted over every row. A histogram of eighths of powers of two gives the least count for
-    which there are few enough, so no task sorts or gathers the candidates.
+    Chunks are counted over every row, in each task first. A histogram of eighths of powers of two gives the least
+    count for which there are few enough, so no task sorts or gathers the candidates.
     """
-    words = docs.select(F.explode(chunk_column(F.col(text_col).cast("string"), lone)).alias("word"))
-    counted = cut(words.where(F.length("word") <= MASK_CHARS).groupBy("word").count().where("count > 1").withColumn("step", F.floor(F.log2("count") * 8)))
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text <> ''")
+    words = texts.mapInArrow(_counter(lone), "word string, n long")
+    counted = cut(words.groupBy("word").agg(F.sum("n").alias("count")).where("count > 1").withColumn("step", F.floor(F.log2("count") * 8)))
     least, total = None, 0
     for step, n in sorted(counted.groupBy("step").agg(F.count("*")).collect(), reverse=True):  # at most 8 * 63 rows
         total += n
@@ -284,24 +330,201 @@ def frequent_chunks(docs: DataFrame, text_col: str, max_frequent: int, lone: str
     return counted.where(F.col("step") >= least if least is not None else F.lit(False)).select("word")
 
 
-def codebook(docs: DataFrame, model: Pieces, text_col: str = "text", max_frequent: int = MAX_FREQUENT) -> dict[str, list[int]]:
-    """Ids of the frequent chunks, from the lattice; at most max_frequent entries."""
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
+def codebook(docs: DataFrame, model: Pieces, text_col: str = "text", max_frequent: int = MAX_FREQUENT) -> dict[str, bytes]:
+    """Ids of the frequent chunks, from the lattice, as 32-bit integers; at most max_frequent entries."""
     found = relational_encode(frequent_chunks(docs, text_col, max_frequent, model.lone), model).toArrow()
-    return {w: [i for p in pieces for i in _leaf_ids(model, p)] for w, pieces in zip(*(found.column(c).to_pylist() for c in ("word", "pieces")), strict=True)}
+    return {
+        w: _packed([i for p in pieces for i in _leaf_ids(model, p)])
+        for w, pieces in zip(*(found.column(c).to_pylist() for c in ("word", "pieces")), strict=True)
+    }
+
 
+class PairTable:
+    """The same fold as fold_bpe of many chunks at once: in each round every chunk joins its best pair, leftmost first.
+
+    Symbols are the pieces and the characters in them; the table says which piece, by the rank of its score, two of them make.
+    """
+
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, model: Pieces):
+        texts = list(model.piece)
+        number = {t: i for i, t in enumerate(texts)}
+        for c in sorted({c for t in texts for c in t}):
+            number.setdefault(c, len(number))
+        self.ids = np.full(len(number), -1, np.int32)
+        self.ids[: len(texts)] = [i for _, i in model.piece.values()]
+        self.symbol = np.full(0x110000, -1, np.int32)
+        for t, i in number.items():
+            if len(t) == 1:
+                self.symbol[ord(t)] = i
+        ranks = {x: i for i, x in enumerate(sorted({x for x, _ in model.piece.values()}, reverse=True))}
+        pairs = [
+            (number[t[:k]], number[t[k:]], ranks[x], number[t]) for t, (x, _) in model.piece.items() for k in range(1, len(t)) if t[:k] in number and t[k:] in number
+        ]
+        left, right, rank, made = np.array(pairs, np.int64).reshape(-1, 4).T
+        self.width = np.int64(len(number))
+        self.mask = np.int64((1 << max(4, int(4 * len(pairs)).bit_length())) - 1)
+        # one more slot than keys have, for no pair
+        self.keys, self.rank, self.made = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 2, self.NONE, np.int32), np.zeros(self.mask + 2, np.int32)
+        key = left * self.width + right
+        at = self._slot(key)
+        while len(key):
+            free = np.flatnonzero(self.keys[at] < 0)
+            where, first = np.unique(at[free], return_index=True)
+            taken = free[first]
+            self.keys[where], self.rank[where], self.made[where] = key[taken], rank[taken], made[taken]
+            rest = np.ones(len(key), bool)
+            rest[taken] = False
+            key, rank, made, at = key[rest], rank[rest], made[rest], (at[rest] + 1) & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) & self.mask
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The slot of each two symbols; the last one where they make no piece."""
+        key = left.astype(np.int64) * self.width + right
+        at = self._slot(key)
+        held = self.keys[at]
+        open_ = np.flatnonzero((held != key) & (held >= 0))
+        at[held < 0] = self.mask + 1
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            held = self.keys[at[open_]]
+            at[open_[held < 0]] = self.mask + 1
+            open_ = open_[(held != key[open_]) & (held >= 0)]
+        return at
+
+    def fold(self, words: list[str], prefix: str = "") -> list[bytes | None]:
+        """Packed ids of each word behind the prefix; None where a character is in no piece or the word is too long, for fold() to do."""
+        out: list[bytes | None] = [None] * len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for n in np.unique(lengths).tolist():
+            if 0 < n + len(prefix) <= MASK_CHARS:
+                rows = np.flatnonzero(lengths == n)
+                for begin in range(0, len(rows), 1 << 15):
+                    self._fold(words, rows[begin : begin + (1 << 15)], n, prefix, out)
+        return out
+
+    def _fold(self, words, rows, n, prefix, out):
+        codes = np.frombuffer("".join([prefix + words[i] for i in rows.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        n += len(prefix)
+        now = self.symbol[codes].reshape(-1, n)
+        plain = (now >= 0).all(1)
+        now, rows = now[plain], rows[plain]
+        cost = self.rank[self.pairs(now[:, :-1].ravel(), now[:, 1:].ravel())].reshape(len(rows), n - 1)
+
+        def emit(rows, symbols):
+            ids = self.ids[symbols]
+            whole, raw, step = (ids >= 0).all(1).tolist(), ids.tobytes(), 4 * symbols.shape[1]
+            for i, (row, ok) in enumerate(zip(rows.tolist(), whole, strict=True)):
+                if ok:
+                    out[row] = raw[i * step : (i + 1) * step]
+
+        while len(rows):
+            if n == 1:
+                emit(rows, now)
+                return
+            at = cost.argmin(1)
+            own = np.arange(len(rows))
+            more = cost[own, at] != self.NONE
+            if not more.all():
+                emit(rows[~more], now[~more])
+                rows, now, cost, at = rows[more], now[more], cost[more], at[more]
+                own = own[: len(rows)]
+            made = self.made[self.pairs(now[own, at], now[own, at + 1])]
+            column = np.arange(n - 1)
+            now = np.take_along_axis(now, column + (column > at[:, None]), 1)
+            now[own, at] = made
+            n -= 1
+            column = np.arange(n - 1)
+            cost = np.take_along_axis(cost, column + (column >= at[:, None]), 1)
+            left, right = np.flatnonzero(at > 0), np.flatnonzero(at < n - 1)
+            cost[left, at[left] - 1] = self.rank[self.pairs(now[left, at[left] - 1], now[left, at[left]])]
+            cost[right, at[right]] = self.rank[self.pairs(now[right, at[right]], now[right, at[right] + 1])]
+
+
+class Encoder:
+    """Encodes texts, and finds out once for each different word what its ids are and whether they decode to it.
+
+    Words are what stands between single blanks; texts with more than that between them are taken by their chunks. A text
+    is the join of its words' or chunks' ids. `lost` are those whose ids do not decode to them.
+    """
 
-def encode_text(text: str | None, model: Pieces, known: dict[str, list[int]], memo: dict[str, list[int]]) -> list[int]:
-    out: list[int] = []
-    for c in chunks(text or "", model.lone):
-        ids = known.get(c) or memo.get(c)
-        if ids is None:
-            ids = fold(c, model)
-            if len(memo) >= 300_000:
-                memo.clear()
-            if len(c) <= 64:
-                memo[c] = ids
-        out += ids
-    return out
+    def __init__(self, model: Pieces, known: dict[str, bytes], limit: int = 200_000):
+        self.model, self.known, self.limit = model, known, limit
+        self.bytes_of = _byte_table(model)
+        self.sizes = np.array(list(map(len, self.bytes_of)), np.int64)
+        self.table = PairTable(model) if model.kind == "bpe" else None
+        self.special = re.compile(f"[{META}{model.lone}]").search
+        self.known_words = {c[1:]: ids for c, ids in known.items() if c[0] == META and len(c) > 1 and not self.special(c[1:])}
+        self.known_lost = self._not_decoded(list(known), list(known.values()))
+        self.known_lost |= {c[1:] for c in self.known_lost if c[1:] in self.known_words}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = {**self.known_words, "": b""}  # by what stands between blanks
+        self.chunks = dict(self.known)  # by chunk, of texts and words that have several
+        self.lost = set(self.known_lost)
+
+    def decoded(self, ids: bytes) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("i")))
+
+    def _not_decoded(self, words: list[str], ids: list[bytes], prefix: str = "") -> set[str]:
+        """The words, behind the prefix, that their ids do not give back."""
+        whole = [(prefix + w).replace(META, " ").encode("utf-8", "surrogatepass") for w in words]
+        joined = b"".join(ids)
+        sizes = np.concatenate(([0], np.cumsum(self.sizes[np.frombuffer(joined, np.int32)])))
+        ends = np.cumsum([len(i) // 4 for i in ids], dtype=np.int64)
+        # bytes that are the same in all are the same in each where each is as long
+        if self.decoded(joined) == b"".join(whole) and np.array_equal(sizes[ends], np.cumsum([len(x) for x in whole])):
+            return set()
+        return {w for w, i, x in zip(words, ids, whole, strict=True) if self.decoded(i) != x}
+
+    def _fold(self, words: list[str], prefix: str = "") -> list[bytes]:
+        """Packed ids of each word behind the prefix, folded together where that can be."""
+        folded = self.table.fold(words, prefix) if self.table else [None] * len(words)
+        return [_packed(fold(prefix + w, self.model)) if ids is None else ids for w, ids in zip(words, folded, strict=True)]
+
+    def _learn_chunks(self, found: set[str]) -> None:
+        new = [c for c in found if c not in self.chunks]
+        ids = self._fold(new)
+        self.chunks.update(zip(new, ids, strict=True))
+        self.lost |= self._not_decoded(new, ids)
+
+    def _learn_words(self, found: set[str]) -> None:
+        new = [w for w in found if w not in self.words]
+        several = {w: chunks(w, self.model.lone) for w in new if self.special(w)}
+        if several:
+            self._learn_chunks({c for parts in several.values() for c in parts})
+            new = [w for w in new if w not in several]
+            for w, parts in several.items():
+                self.words[w] = b"".join([self.chunks[c] for c in parts])
+                if not self.lost.isdisjoint(parts):
+                    self.lost.add(w)
+        ids = self._fold(new, META)
+        self.words.update(zip(new, ids, strict=True))
+        self.lost |= self._not_decoded(new, ids, META)
+
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """Packed ids of each text, and whether they decode to it."""
+        if len(self.words) + len(self.chunks) > self.limit + 2 * len(self.known):  # between calls, so that `lost` holds all of a text's
+            self._forget()
+        plain = [_plain(t) for t in texts]
+        parts = [t.split(" ") if p else chunks(t, self.model.lone) for t, p in zip(texts, plain, strict=True)]
+        self._learn_words(set().union(*[x for x, p in zip(parts, plain, strict=True) if p]))
+        self._learn_chunks(set().union(*[x for x, p in zip(parts, plain, strict=True) if not p]))
+        of_words, of_chunks = self.words.__getitem__, self.chunks.__getitem__
+        ids = [b"".join(map(of_words if p else of_chunks, x)) for x, p in zip(parts, plain, strict=True)]
+        same = [
+            not self.lost or self.lost.isdisjoint(x) or self.decoded(i)[1:] == t.replace(META, " ").encode("utf-8", "surrogatepass")
+            for i, x, t in zip(ids, parts, texts, strict=True)
+        ]
+        return ids, same
 
 
 def decode_ids(ids: list[int] | None, model: Pieces) -> str:
@@ -333,22 +556,22 @@ def encode(docs: DataFrame, model: Pieces, text_col: str = "text", ids_col: str
     lowered = {c.lower() for c in new}
     kept = [c for c in docs.columns if c.lower() not in lowered]
     spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model, codebook(docs, model, text_col, max_frequent)))
+    # plain values, since executors may not have the package
+    shared = spark.sparkContext.broadcast((tuple(model), codebook(docs, model, text_col, max_frequent)))
     plain = docs.select(*[F.col(f"`{c}`") for c in kept])
     at = kept.index(text_col)
 
     def run(batches):
-        model, known = shared.value
-        memo: dict[str, list[int]] = {}
-        at_id = _byte_table(model).__getitem__
+        parts, known = shared.value
+        encoder = Encoder(Pieces(*parts), known)
         for batch in batches:
-            texts = batch.column(at).cast(pa.string()).to_pylist()
-            for lo in range(0, len(texts), 500):
-                part = texts[lo : lo + 500]
-                ids = [encode_text(t, model, known, memo) for t in part]
-                columns = [c.slice(lo, len(part)) for c in batch.columns] + [pa.array(ids, pa.list_(pa.int32()))]
+            texts = batch.column(at).cast(pa.string())
+            for lo, hi in _slices(texts):
+                ids, same = encoder.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
+                ends, values = np.cumsum([0, *map(len, ids)]) // 4, np.frombuffer(b"".join(ids), np.int32)
+                columns = [c.slice(lo, hi - lo) for c in batch.columns]
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32())))
                 if check_col:
-                    same = [b"".join(map(at_id, i))[1:] == (t or "").replace(META, " ").encode("utf-8", "surrogatepass") for i, t in zip(ids, part, strict=True)]
                     columns.append(pa.array(same, pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, [*kept, *new])
 
@@ -358,14 +581,15 @@ def encode(docs: DataFrame, model: Pieces, text_col: str = "text", ids_col: str
 
 def decode(rows: DataFrame, model: Pieces, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """The rows with the text of their ids in `text_col`, which replaces a column of that name; null ids give an empty text."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = rows.sparkSession.sparkContext.broadcast(tuple(model))
     kept = [c for c in rows.columns if c.lower() != text_col.lower()]
     plain = rows.select(*[F.col(f"`{c}`") for c in kept])
     at = kept.index(ids_col)
 
     def run(batches):
+        model = Pieces(*shared.value)
         for batch in batches:
-            texts = [decode_ids(i, shared.value) for i in batch.column(at).to_pylist()]
+            texts = [decode_ids(i, model) for i in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*kept, text_col])
 
     return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField(text_col, T.StringType())]))

@@ -3,6 +3,7 @@
 import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -217,7 +218,10 @@ def test_pieces_equal_the_library_and_decode(spark):
 
     model, texts = sentencepiece.Pieces.read(MODEL), odd_texts()
     want = library.SentencePieceProcessor(model_file=MODEL).encode(texts)
-    assert [sentencepiece.encode_text(t, model, {}, {}) for t in texts] == want
+    for limit in (200_000, 3):
+        encoder = sentencepiece.Encoder(model, {}, limit)
+        assert [np.frombuffer(i, np.int32).tolist() for i in encoder.encode(texts)[0]] == want
+        assert [np.frombuffer(encoder.encode([t])[0][0], np.int32).tolist() for t in texts] == want
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate([*texts, None])], "doc_id long, text string, Ids string, ROUND_TRIP int")
     got = sentencepiece.encode(df, model, check_col="round_trip")
     assert got.columns == ["doc_id", "text", "ids", "round_trip"]
@@ -258,10 +262,33 @@ def test_pieces_equal_the_library_with_few_words_in_the_lattice(spark, max_frequ
 
 
 @needs_model
-def test_chunks_in_sql_equal_chunks_in_python(spark):
-    texts = odd_texts(80)
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+def test_chunks_are_counted_over_all_texts(spark, monkeypatch):
+    texts = [t for t in odd_texts(80) for _ in range(2)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, text string")
     for lone in ("", "\n", "\n\t"):
-        got = sorted(df.select("i", sentencepiece.chunk_column(df.text, lone).alias("c")).collect())
-        assert [r.c or [] for r in got] == [sentencepiece.chunks(t, lone) for t in texts]
-        assert all("".join(r.c or []) == ("▁" + t if t else "").replace(" ", "▁") for r, t in zip(got, texts, strict=True))
+        counts = Counter(c for t in texts for c in sentencepiece.chunks(t, lone))
+        want = {c for c, n in counts.items() if n > 1 and len(c) <= sentencepiece.MASK_CHARS}
+        assert {r.word for r in sentencepiece.frequent_chunks(df, "text", 10**6, lone).collect()} == want
+        assert all("".join(sentencepiece.chunks(t, lone)) == ("▁" + t if t else "").replace(" ", "▁") for t in texts)
+
+
+@needs_model
+def test_round_trip_is_judged_without_byte_pieces():
+    model = sentencepiece.Pieces.read(MODEL)._replace(byte=None)
+    encoder = sentencepiece.Encoder(model, {})
+    texts = ["the house", "the 你好😀 house", "a  b", "a  😀 b", "", "😀", "the house"]
+    for text, ids, same in zip(texts, *encoder.encode(texts), strict=True):
+        assert same == (sentencepiece.decode_ids(np.frombuffer(ids, np.int32).tolist(), model) == text)
+
+
+@needs_model
+def test_folding_many_words_equals_folding_each():
+    model = sentencepiece.Pieces.read(MODEL)
+    table = sentencepiece.PairTable(model)
+    rng = random.Random(8)
+    words = ["▁" + "".join(rng.choice("etaoinshrdlu▁ABCéñß019.,'-_😀") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    got = table.fold([*words, "", "x" * 100])
+    assert got[-2:] == [None, None]
+    assert sum(g is not None for g in got) > 1000
+    for w, g in zip(words, got, strict=False):
+        assert g is None or np.frombuffer(g, np.int32).tolist() == sentencepiece.fold_bpe(w, model)
