@@ -10,9 +10,9 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # hints go to executors
 
-#: Schema types whose values stay text.
+#: Schema types whose values stay text, in lower case, as names are compared without case.
 TEXT_TYPES = frozenset(
-    "string normalizedString token language Name NCName NMTOKEN ID IDREF anyURI QName date time dateTime gYear gYearMonth gMonth gMonthDay gDay duration hexBinary".split()
+    "string normalizedstring token language name ncname id idref idrefs anyuri date time datetime gyearmonth gyear gmonthday gday gmonth duration hexbinary base64binary".split()
 )
 
 
@@ -43,7 +43,7 @@ def parse_xsd(xsd: str | bytes) -> Hints:
                     here = f"{path}.{name}" if path else name
                     if child.get("maxOccurs", "1") not in ("", "0", "1"):
                         arrays.add(here)
-                    if _local(child.get("type") or "") in TEXT_TYPES:
+                    if _local(child.get("type") or "").lower() in TEXT_TYPES:
                         texts.add(here)
             visit(child, here)
 
