@@ -8,7 +8,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_DATE = re.compile(r"(\d{4})-(\d{2})(?:-(\d{2}))?")
+_DATE = re.compile(r"([0-9]{4})-([0-9]{2})(?:-([0-9]{2}))?")
+_SHAPE = r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?\z"
 
 
 def parse_date(text: object) -> dt.date | None:
@@ -32,10 +33,6 @@ def cut_off(reference: dt.date, n: int, unit: str) -> dt.date:
     return months_back(reference, 12 * n if unit == "year" else n)
 
 
-def date_of(text: Column) -> Column:
-    return F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), F.try_to_date(text, "yyyy-MM"))
-
-
 def within_period(text: Column, n: int, unit: str, reference: object, today: dt.date) -> Column:
     """Whether a date string lies from n units before the reference up to it.
 
@@ -44,5 +41,8 @@ def within_period(text: Column, n: int, unit: str, reference: object, today: dt.
     """
     given = parse_date(reference)
     end = given or today
-    day, begin = date_of(text), F.lit(cut_off(end, n, unit))
-    return F.coalesce(((day >= begin) if given else (day > begin)) & (day <= F.lit(end)), F.lit(False))
+    begin = F.lit(cut_off(end, n, unit).isoformat())
+    # dates of four-digit years are in the order of their texts, so only texts inside the window are parsed
+    day = F.when(F.length(text) == 7, F.concat(text, F.lit("-01"))).otherwise(text)
+    inside = ((day >= begin) if given else (day > begin)) & (day <= F.lit(end.isoformat()))
+    return F.coalesce(inside & text.rlike(_SHAPE) & day.try_cast("date").isNotNull(), F.lit(False))

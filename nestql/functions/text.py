@@ -83,7 +83,7 @@ def comparable(v: Column, kind: T.DataType, literal: Any) -> tuple[Column, Colum
     Whole literals meet whole columns uncast, so that the comparison can be pushed down to the scan.
     """
     if isinstance(kind, T.NumericType) and is_number(literal):
-        if isinstance(kind, T.IntegralType) and float(literal).is_integer() and abs(literal) < 1 << 31:
+        if isinstance(kind, T.IntegralType) and float(literal).is_integer() and abs(literal) < 1 << 53:
             return v, F.lit(int(literal))
         return v.cast("double"), F.lit(float(literal))
     return text_of(v, kind), F.lit(literal_text(literal))

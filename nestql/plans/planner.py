@@ -52,6 +52,21 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def _place(order: list[Column], id_type: T.DataType) -> Column:
+    """The order of an exploded row: the record's, then the positions in the arrays, -1 where an array is empty.
+
+    Up to two positions behind a whole number are one decimal, which is aggregated by hashing; Spark sorts to aggregate structs.
+    """
+    if not isinstance(id_type, T.IntegralType) or len(order) > 3:
+        return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    # 19 digits of the record and 9.4 of each position are within 38
+    kind = "decimal(38,0)"
+    place = order[0].cast(kind)
+    for position in order[1:]:
+        place = (place * F.lit(1 << 31).cast("decimal(10,0)") + (position + 1).cast("decimal(10,0)")).cast(kind)
+    return place
+
+
 class Plan:
     """One request against one dataset. `df` has ROW_ID, whose order is the records' order."""
 
@@ -180,6 +195,8 @@ class Plan:
             array = F.filter(array, lambda e: test(lambda f: walk(e, f)))
         rel = p.steps[depth + 1]
         if depth == len(p.arrays) - 1:
+            if p.kind is None:  # no element has such a field
+                return ops.fold_array(a.op, F.when(array.isNotNull(), F.array().cast("array<double>")))
             date = self._dated(a, deep=True)
             if date:
                 kind = resolve(own, ".".join(date)).kind
@@ -210,18 +227,29 @@ class Plan:
         """Group, then put columns in request order: keys, then aggregates; a later equal name takes the earlier one's place."""
         names = list(dict.fromkeys([*keys, *values]))
         if not keys:
-            out = rows.agg(*[c.alias(f"v{i}") for i, c in enumerate(values.values())]) if values else rows.sparkSession.range(1)
-            # nothing was selected from nothing: an empty dataset has no row at all
-            out = out.join(self.df.limit(1).select(F.lit(1).alias("__any")), F.lit(True), "left_semi")
+            out = self._one_row(rows, values)
         else:
             grouped = rows.groupBy(*[c.alias(f"k{i}") for i, c in enumerate(keys.values())])
-            # the place of an exploded row is a struct, which Spark aggregates by sorting: only taken where it is asked for
             order = [first.alias("__first")] if self.options.ordered or not values else []
             out = grouped.agg(*order, *[c.alias(f"v{i}") for i, c in enumerate(values.values())])
             out = out.orderBy("__first") if self.options.ordered else out
         at = {n: f"k{i}" for i, n in enumerate(keys)} | {n: f"v{i}" for i, n in enumerate(values)}
         return out.select(*[F.col(at[n]).alias(n) for n in names])
 
+    def _one_row(self, rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+        """One aggregate row, or none for an empty dataset: nothing was selected from nothing.
+
+        Where a filter may have left no row, a second one-row aggregate that reads no column tells whether the dataset has any.
+        """
+        names = [f"v{i}" for i in range(len(values))]
+        out = rows.agg(*[c.alias(n) for n, c in zip(names, values.values(), strict=True)], F.count("*").alias("__n"))
+        if self._record_filter() is not None:
+            # a distinct constant needs none of the dataset's columns, so the optimizer drops the joins that make them
+            held = self.df.select(F.lit(1).cast("long").alias("__n")).distinct()
+            both = out.unionByName(held, allowMissingColumns=True)
+            out = both.agg(*[F.max(n).alias(n) for n in names], F.max("__n").alias("__n"))
+        return out.where(F.col("__n") > 0).drop("__n")
+
     def _standard_mode(self, rows: DataFrame) -> DataFrame:
         needed: dict[str, list[tuple[str, ...]]] = {}
         for a in self.request.aggregations:
@@ -308,11 +336,12 @@ class Plan:
             start = F.col(f"__element{shared - 1}")
             return leaf(start[names[rel]] if shared == 1 else walk(start, rel), kind)
 
-        place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-        rows = rows.withColumn("__place", place)
+        rows = rows.withColumn("__place", _place(order, self.df.schema[ROW_ID].dataType))
         keys = self._keys([shown(*value(p)) if p.kind is not None else F.lit(None).cast("string") for p in self.group])
-        by_record = self.options.parent_dedup == "record"
-        if by_record and any(not p.text.startswith(f"{outer}.") for p in self.paths.values()):
+        by_record = self.options.parent_dedup == "record" and any(not p.text.startswith(f"{outer}.") for p in self.paths.values())
+        if by_record and not any(p.text.startswith(f"{outer}.") and ops.merge_of(a.op) == "distinct" for a in self.request.aggregations for p in [self.paths[a.field]]):
+            return self._by_record(rows, keys, outer, value)
+        if by_record:
             rows = self._mark_first(rows, keys)
             keys = {n: F.col(f"__key{i}") for i, n in enumerate(keys)}
         values: dict[str, Column] = {}
@@ -336,8 +365,32 @@ class Plan:
         item = ops.contribution(a, v, kind, self.today)
         return F.when(v.isNotNull(), item)
 
+    def _by_record(self, rows: DataFrame, keys: dict[str, Column], outer: str, value) -> DataFrame:
+        """Fields outside the exploded array from each record of a group once: aggregate by group and record, then by group."""
+        names = [f"__key{i}" for i in range(len(keys))]
+        first: list[Column] = [F.min("__place").alias("__place")]
+        values: dict[str, Column] = {}
+        for i, a in enumerate(self.request.aggregations):
+            p = self.paths[a.field]
+            v, kind = value(p)
+            merge, part = ops.merge_of(a.op), F.col(f"__part{i}")
+            if not p.text.startswith(f"{outer}."):
+                # such a field is the same in all rows of a record
+                first.append(F.any_value(v).alias(f"__part{i}"))
+                folded = ops.fold_group(merge, self._seen(a, part, kind))
+            elif merge == "avg":
+                item = self._seen(a, v, kind)
+                first += [F.sum(item).alias(f"__part{i}"), F.count(item).alias(f"__count{i}")]
+                folded = F.try_divide(F.sum(part), F.sum(f"__count{i}"))
+            else:
+                first.append(ops.fold_group(merge, self._seen(a, v, kind)).alias(f"__part{i}"))
+                folded = ops.fold_group(merge, part)
+            values[a.name] = ops.finish(a.op, folded)
+        each = rows.groupBy(*[c.alias(n) for n, c in zip(names, keys.values(), strict=True)], ROW_ID).agg(*first)
+        return self._aggregate(each, {k: F.col(n) for k, n in zip(keys, names, strict=True)}, values, F.min("__place"))
+
     def _mark_first(self, rows: DataFrame, keys: dict[str, Column]) -> DataFrame:
-        """Mark one row of each record in each group: the one with the smallest place."""
+        """Mark one row of each record in each group: the one with the smallest place. Only distinct counts inside the array need it."""
         named = rows.withColumns({f"__key{i}": c for i, c in enumerate(keys.values())})
         # one key column and the record: an aggregate with a struct of the least place, joined back on the null-safe keys
         columns = [f"__key{i}" for i in range(len(keys))]
