@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 import threading
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
 from typing import Any
 
@@ -36,11 +37,12 @@ class Dataset:
 class Catalog:
     """Datasets by name. Registering a name again replaces its dataset.
 
-    Field names differ by case, so the session is set to tell them apart.
+    Field names differ by case, so the session is set to tell them apart. A dataset whose name is an identifier is
+    also a temporary view of the session, unless `views` is False.
     """
 
-    def __init__(self, spark: SparkSession, options: Options = Options()):
-        self.spark, self.options = spark, options
+    def __init__(self, spark: SparkSession, options: Options = Options(), views: bool = True):
+        self.spark, self.options, self.views = spark, options, views
         self._data: dict[str, Dataset] = {}
         self._hints: dict[str, Hints] = {}
         self._lock = threading.RLock()
@@ -56,6 +58,8 @@ class Catalog:
     def _keep(self, name: str, dataset: Dataset) -> DataFrame:
         with self._lock:
             self._data[name] = dataset
+            if self.views and re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
+                dataset.df.drop(ROW_ID).createOrReplaceTempView(name)
         return dataset.df
 
     def register_parquet(self, name: str, path: str, row_id: str | None = None) -> DataFrame:
@@ -68,9 +72,11 @@ class Catalog:
         whole = self.spark.read.parquet(path)
         return self._keep(name, Dataset(_with_row_id(whole, row_id), reread, (row_id,) if row_id else ()))
 
-    def register_json(self, name: str, source: str | bytes | list, is_path: bool = False) -> DataFrame:
-        """Register JSON text, decoded values, or a file of it (any path that Spark reads)."""
-        return self.register_df(name, json_records(self.spark, source, is_path))
+    def register_json(self, name: str, source: str | bytes | list, is_path: bool = False, mixed: bool = False) -> DataFrame:
+        """Register JSON text, decoded values, or files of it (any path that Spark reads): a record for each line where the
+        path ends in .jsonl or .ndjson, else whole documents. `mixed` files have paths that are an array in some records and
+        an object in others."""
+        return self.register_df(name, json_records(self.spark, source, is_path, mixed))
 
     def register_dynamic(self, name: str, source: DataFrame | str | bytes | list) -> DataFrame:
         """Register records whose types differ from row to row: decoded values, JSON text, or a DataFrame of JSON texts
@@ -79,18 +85,27 @@ class Catalog:
         return self._keep(name, Dataset(_with_row_id(lines.select("value"), None), dynamic=True))
 
     def register_xml(
-        self, name: str, source: str | bytes, is_path: bool = False, xsd: str | bytes | None = None, many: bool = False, options: XmlOptions | None = None
+        self,
+        name: str,
+        source: DataFrame | str | bytes,
+        is_path: bool = False,
+        xsd: str | bytes | None = None,
+        many: bool = False,
+        options: XmlOptions | None = None,
+        row_tag: str | None = None,
     ) -> DataFrame:
-        """Register an XML document (or every document under a path), read with the hints of its XSD, if any."""
+        """Register an XML document, every document under a path or in the column `value` of a DataFrame, read with the
+        hints of its XSD, if any. `row_tag` makes each element of that name under a path a record, so that one large
+        file is read by many tasks."""
         hints = self._hints.get(name, Hints())
         if xsd is not None:
             hints = self.register_xsd(name, xsd)
-        return self.register_df(name, xml_records(self.spark, source, is_path, hints, many, options or XmlOptions()))
+        return self.register_df(name, xml_records(self.spark, source, is_path, hints, many, options or XmlOptions(), row_tag))
 
     def register_file(self, name: str, path: str, xsd_path: str | None = None) -> DataFrame:
         """Register a JSON or XML file, told apart by suffix."""
         xsd = self._read_text(xsd_path) if xsd_path else None
-        if path.lower().endswith(".xml"):
+        if path.lower().endswith((".xml", ".xml.gz")):
             return self.register_xml(name, path, is_path=True, xsd=xsd)
         return self.register_json(name, path, is_path=True)
 
@@ -152,7 +167,7 @@ class Catalog:
                 raise KeyError(f"dataset {r.dataset!r} not found")
             df = found.df
             if found.dynamic:
-                return DynamicPlan(df, ROW_ID, r, today or dt.date.today()).build()
+                return DynamicPlan(df, ROW_ID, r, today or dt.date.today(), options or self.options).build()
             if found.reread is not None:
                 used = narrowed(T.StructType([f for f in df.schema.fields if f.name != ROW_ID]), [*r.paths(), *found.keys])
                 df = found.reread(used) if used.fields else df
@@ -168,17 +183,32 @@ def aggregate(df: DataFrame, request: Request | Mapping[str, Any] | str, row_id:
     return Plan(_with_row_id(df, row_id), Request.of(request), today or dt.date.today(), options).build()
 
 
-def result_rows(df: DataFrame) -> list[dict[str, Any]]:
-    """A result's rows with columns in order and numbers that JSON cannot hold as null. Results are small; records are not."""
-    out = []
+def iterate_rows(df: DataFrame) -> Iterator[dict[str, Any]]:
+    """A result's rows, read one partition at a time, with columns in order and numbers that JSON cannot hold as null."""
     for row in df.toLocalIterator():
         item = {}
         for name, v in zip(df.columns, row, strict=True):
             bad = isinstance(v, float) and (v != v or v in (float("inf"), float("-inf")))
             item[name] = None if bad else v.toPython() if isinstance(v, T.VariantVal) else v.asDict(True) if hasattr(v, "asDict") else v
-        out.append(item)
-    return out
+        yield item
+
+
+def result_rows(df: DataFrame) -> list[dict[str, Any]]:
+    """All of a result's rows, for results that the caller can hold."""
+    return list(iterate_rows(df))
+
+
+def json_chunks(texts: Iterable[str], size: int = 1 << 16) -> Iterator[str]:
+    """A JSON array of the texts, in chunks of about `size` characters."""
+    part, length = ["["], 0
+    for i, text in enumerate(texts):
+        part.append("," + text if i else text)
+        length += len(text)
+        if length >= size:
+            yield "".join(part)
+            part, length = [], 0
+    yield "".join([*part, "]"])
 
 
 def to_json(df: DataFrame) -> str:
-    return json.dumps(result_rows(df), ensure_ascii=False)
+    return "".join(json_chunks(json.dumps(r, ensure_ascii=False) for r in iterate_rows(df)))

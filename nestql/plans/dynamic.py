@@ -12,6 +12,7 @@ import datetime as dt
 import json
 import sys
 from collections.abc import Iterator, Mapping
+from dataclasses import replace
 from typing import Any
 
 import pyarrow as pa
@@ -24,6 +25,7 @@ from ..functions.history import EPSILON
 from ..functions.text import NULL_TEXT, is_number, literal_text
 from ..operators.aggregates import has_zero, merge_of
 from ..request import Aggregation, Request
+from .planner import Options
 
 #: Text of a missing group field, and what stands between group fields.
 MISSING_TEXT, KEY_SEPARATOR = "__nil__", "|||"
@@ -170,8 +172,10 @@ def fold(op: str, items: list, merge: str | None = None) -> Any:
 class DynamicPlan:
     """One request over a DataFrame of JSON texts `value` with an id whose order is the records' order."""
 
-    def __init__(self, lines: DataFrame, row_id: str, request: Request, today: dt.date):
-        self.lines, self.row_id, self.request, self.today = lines, row_id, request, today
+    def __init__(self, lines: DataFrame, row_id: str, request: Request, today: dt.date, options: Options = Options()):
+        if replace(options, ordered=True) != Options():
+            raise ValueError("datasets whose types differ from row to row have no other option than `ordered`")
+        self.lines, self.row_id, self.request, self.today, self.ordered = lines, row_id, request, today, options.ordered
         sample = [json.loads(r.value) for r in lines.orderBy(row_id).limit(SAMPLE).collect()]
         levels = [array_paths(r) for r in sample]
         self.arrays = next((x for x in levels if x), levels[0] if levels else set())
@@ -333,7 +337,7 @@ class DynamicPlan:
         )
         if not r.group_by and self.empty:
             out = out.limit(0)
-        if r.group_by:
+        if r.group_by and self.ordered:
             out = out.orderBy("first")
         shown = {f: F.variant_get(F.parse_json("shown"), f"$[{i}]", "variant") for i, f in enumerate(r.group_by)}
         columns = shown | {n: F.col(f"v{i}") for i, n in enumerate(values)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 from collections.abc import Callable, Mapping
 from typing import Any
 
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .catalog import aggregate
+from .catalog import Catalog, aggregate
 from .plans.planner import Options, quoted
 from .sources import nesting
 
@@ -29,11 +31,17 @@ def _optional_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).withColumn("note", F.when(F.col("o_orderstatus") == "O", F.col("o_orderpriority")))
 
 
+def _scaled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with a number whose text is in scientific form: 2.5 million times the key, and a millionth of it."""
+    return _orders(spark, sf_dir).withColumns({"large": F.col("o_orderkey") * 2.5e6, "tiny": F.col("o_orderkey") / 1e6})
+
+
 VIEWS: dict[str, tuple[View, str]] = {
     "customer": (_flat("customer"), "c_custkey"),
     "documents": (_flat("documents"), "doc_id"),
     "orders": (_orders, "o_orderkey"),
     "noted_orders": (_optional_notes, "o_orderkey"),
+    "scaled_orders": (_scaled_orders, "o_orderkey"),
     "cust_orders": (nesting.cust_orders, "c_custkey"),
     "cust_orders_lines": (nesting.cust_orders_lines, "c_custkey"),
     "user_events": (nesting.user_events, "user_id"),
@@ -48,30 +56,51 @@ def agg(field: str, op: str, alias: str, **params: Any) -> dict[str, Any]:
 
 
 def presented(df: DataFrame) -> DataFrame:
-    """Names without dots, and doubles rounded to where the order of summing them no longer shows."""
+    """Names without dots, doubles rounded to where the order of summing them no longer shows, and variants as texts."""
     out = []
     for f in df.schema.fields:
         c = F.col(quoted(f.name))
-        out.append((F.round(c, 2) if isinstance(f.dataType, T.DoubleType) else c).alias(f.name.replace(".", "_")))
+        c = F.round(c, 2) if isinstance(f.dataType, T.DoubleType) else c.cast("string") if isinstance(f.dataType, T.VariantType) else c
+        out.append(c.alias(f.name.replace(".", "_")))
     return df.select(*out)
 
 
-def run(spark: SparkSession, sf_dir: str, view: str, request: Mapping[str, Any], options: Options = Options()) -> DataFrame:
-    make, row_id = VIEWS[view]
+def _by_case(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` gives in a session that tells names apart by case; the session is left as it was."""
     before = spark.conf.get("spark.sql.caseSensitive")
     spark.conf.set("spark.sql.caseSensitive", "true")
     try:
-        return presented(aggregate(make(spark, sf_dir), request, row_id, options=options))
+        return make()
     finally:
         spark.conf.set("spark.sql.caseSensitive", before)
 
 
+def run(spark: SparkSession, sf_dir: str, view: str, request: Mapping[str, Any], options: Options = Options(), today: dt.date | None = None) -> DataFrame:
+    make, row_id = VIEWS[view]
+    return _by_case(spark, lambda: presented(aggregate(make(spark, sf_dir), request, row_id, today, options)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _add(name: str, view: str, request: Mapping[str, Any], sql: str, options: Options = Options()) -> None:
-    QUERIES[name] = lambda spark, sf_dir: run(spark, sf_dir, view, request, options)
+def _add(name: str, view: str, request: Mapping[str, Any], sql: str, options: Options = Options(), today: dt.date | None = None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: run(spark, sf_dir, view, request, options, today)
+    ORACLES[name] = sql
+
+
+def _add_ingested(name: str, register: Callable[[Catalog, SparkSession, str], Any], request: Mapping[str, Any], sql: str, options: Options = Options()) -> None:
+    """A query over a dataset `d` that `register` puts into a catalog of its own."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        def make() -> DataFrame:
+            catalog = Catalog(spark, views=False)
+            register(catalog, spark, sf_dir)
+            return presented(catalog.aggregate({"dataset": "d", **request}, options=options))
+
+        return _by_case(spark, make)
+
+    QUERIES[name] = query
     ORACLES[name] = sql
 
 
@@ -415,3 +444,166 @@ _add(
     {"groupBy": _SEG, "aggregations": [agg("c_acctbal", "sum", "v"), agg("c_acctbal", "count", "n"), agg("c_acctbal", "max", "v")]},
     f"SELECT c_mktsegment, {_dbl('max(c_acctbal)')} AS v, {_dbl('count(*)')} AS n FROM customer GROUP BY 1",
 )
+
+# Dates against a fixed today
+_TODAY = dt.date(1998, 7, 15)
+_ISO = "strftime(o_orderdate, '%Y-%m-%d')"
+for _name, _months, _today, _begin in [("", 3, _TODAY, "1998-04-15"), ("_overflow", 3, dt.date(1998, 5, 31), "1998-03-03")]:
+    _add(
+        f"pred_within_months{_name}",
+        "noted_orders",
+        {"where": {"o_orderdate": {"$within_months": _months}}, "aggregations": [agg("o_orderkey", "count", "n"), agg("o_totalprice", "sum", "total")]},
+        f"SELECT {_dbl('count(*)')} AS n, {_dbl('coalesce(sum(o_totalprice), 0)')} AS total FROM orders WHERE {_ISO} >= '{_begin}'",
+        today=_today,
+    )
+_add(
+    "filter_local_within_months",
+    "cust_orders",
+    {"localFilter": {"orders": {"o_orderdate": {"$within_months": 12}}}, "groupBy": _SEG, "aggregations": [agg("orders.o_totalprice", "sum", "total"), agg("orders.o_orderkey", "count", "n")]},
+    f"SELECT c_mktsegment, {_dbl('sum(o_totalprice)')} AS total, {_dbl('count(*)')} AS n FROM {_CO} WHERE {_ISO} >= '1997-07-15' GROUP BY 1",
+    today=_TODAY,
+)
+_add(
+    "count_since_parent",
+    "orders",
+    {"groupBy": ["o_orderstatus"], "aggregations": [agg("o_orderdate", "count_since", "n", n=6), agg("o_totalprice", "count_since", "k", n=6)]},
+    f"SELECT o_orderstatus, {_dbl(f"count(*) FILTER ({_ISO} >= '1998-01-15')")} AS n, {_dbl('sum(o_totalprice)')} AS k FROM orders GROUP BY 1",
+    today=_TODAY,
+)
+_add(
+    "count_since_array",
+    "cust_orders",
+    {"groupBy": _SEG, "aggregations": [agg("orders.o_orderdate", "count_since", "n", n=18)]},
+    f"SELECT c_mktsegment, {_dbl(f"count(*) FILTER ({_ISO} >= '1997-01-15')")} AS n FROM {_CO} GROUP BY 1",
+    today=_TODAY,
+)
+for _unit, _n, _begin in [("month", 6, "1998-01-15"), ("day", 60, "1998-05-16"), ("year", 1, "1997-07-15")]:
+    # without a reference date the first day has just left the window
+    _add(
+        f"date_count_open_{_unit}",
+        "cust_orders",
+        {"groupBy": _SEG, "aggregations": [agg("orders.o_orderdate", "count_date_last_n", "n", n=_n, unit=_unit)]},
+        f"SELECT c_mktsegment, {_dbl(f"count(*) FILTER (o_orderdate::DATE > DATE '{_begin}' AND o_orderdate::DATE <= DATE '1998-07-15')")} AS n FROM {_CO} GROUP BY 1",
+        today=_TODAY,
+    )
+_add(
+    "agg_nested_date_field_open",
+    "cust_orders_lines",
+    {"groupBy": _SEG, "aggregations": [agg("orders.lines.l_quantity", "sum", "qty", date_field="l_shipdate", n=6)]},
+    f"SELECT c_mktsegment, {_dbl("coalesce(sum(l_quantity) FILTER (l_shipdate::DATE > DATE '1998-01-15' AND l_shipdate::DATE <= DATE '1998-07-15'), 0)")} AS qty FROM {_COL} GROUP BY 1",
+    today=_TODAY,
+)
+
+# Numbers equal within a billionth, and as texts
+_add(
+    "lastn_ever_epsilon",
+    "cust_orders_lines",
+    {
+        "groupBy": _SEG,
+        "aggregations": [
+            agg("orders.lines.l_quantity", "count_last_n", "near", value=17.0000000001),
+            agg("orders.lines.l_quantity", "count_last_n", "far", value=17.00000001),
+            agg("orders.lines.l_quantity", "ever_has_last_n", "ever", value=17.0000000001, comparator="$eq"),
+        ],
+    },
+    f"""SELECT c_mktsegment, {_dbl("count(*) FILTER (abs(l_quantity::DOUBLE - 17.0000000001::DOUBLE) < 1e-9)")} AS near,
+    {_dbl("count(*) FILTER (abs(l_quantity::DOUBLE - 17.00000001::DOUBLE) < 1e-9)")} AS far, {_dbl("max((abs(l_quantity::DOUBLE - 17.0000000001::DOUBLE) < 1e-9)::INT)")} AS ever FROM {_COL} GROUP BY 1""",
+)
+_add(
+    "pred_float_text",
+    "scaled_orders",
+    {"where": {"large": {"$in": ["2.5e+06", "5e+06", "1.75e+07", "7500000", "8e+7"]}}, "aggregations": [agg("o_orderkey", "count", "n"), agg("large", "sum", "total")]},
+    f"SELECT {_dbl('count(*)')} AS n, {_dbl('coalesce(sum(o_orderkey * 2500000), 0)')} AS total FROM orders WHERE o_orderkey IN (1, 2, 7)",
+)
+_add(
+    "pred_small_float_text",
+    "scaled_orders",
+    {"where": {"tiny": {"$in": ["1e-06", "0.0001", "0.000101", "2.1e-05", "1e-05", "0.0123"]}}, "aggregations": [agg("o_orderkey", "count", "n"), agg("o_orderkey", "sum", "keys")]},
+    f"SELECT {_dbl('count(*)')} AS n, {_dbl('coalesce(sum(o_orderkey), 0)')} AS keys FROM orders WHERE o_orderkey IN (1, 100, 101, 21, 10, 12300)",
+)
+_add(
+    "agg_nested_count_rows",
+    "cust_orders_lines",
+    {"groupBy": _SEG, "aggregations": [agg("orders.lines.l_linenumber", "count_rows", "n"), agg("orders.lines.nothing", "count_rows", "none")]},
+    f"SELECT c_mktsegment, {_dbl('count(*)')} AS n, 0.0::DOUBLE AS none FROM {_COL} GROUP BY 1",
+)
+
+
+# Ingested datasets: a test table rendered as text, registered and aggregated
+_REGIONS = "region JOIN nation ON r_regionkey = n_regionkey"
+_XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="regions"><xs:complexType><xs:sequence>
+<xs:element name="region" maxOccurs="unbounded"><xs:complexType><xs:sequence><xs:element name="name" type="xs:string"/>
+<xs:element name="nation" maxOccurs="unbounded"><xs:complexType><xs:sequence><xs:element name="key" type="xs:{kind}"/><xs:element name="name" type="xs:string"/>
+</xs:sequence></xs:complexType></xs:element></xs:sequence></xs:complexType></xs:element></xs:sequence></xs:complexType></xs:element></xs:schema>"""
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> list[dict[str, Any]]:
+    """The regions with their nations: 25 rows in any size of the test tables."""
+    nations = nesting.read(spark, sf_dir, "nation").selectExpr("n_regionkey", "n_nationkey AS key", "n_name AS name")
+    both = nesting.nest(nesting.read(spark, sf_dir, "region").selectExpr("r_regionkey", "r_name AS name"), nations, "r_regionkey", "n_regionkey", "nation", ["key", "name"], ["key"])
+    return [json.loads(r.value) for r in both.orderBy("r_regionkey").select(F.to_json(F.struct("name", "nation")).alias("value")).collect()]
+
+
+def _regions_xml(spark: SparkSession, sf_dir: str) -> str:
+    def one(r: dict[str, Any]) -> str:
+        nations = "".join(f'<nation id="{n["key"]}"><key>{n["key"]}</key><name>{n["name"]}</name></nation>' for n in r["nation"])
+        return f"<region><name>{r['name']}</name>{nations}</region>"
+
+    return f"<regions>{''.join(map(one, _regions(spark, sf_dir)))}</regions>"
+
+
+def _customer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as JSON texts whose balance is a number for even keys and a text for odd ones, and missing for every seventh."""
+    c = nesting.read(spark, sf_dir, "customer")
+    number = F.col("c_acctbal").cast("double")
+    balance = F.when(F.col("c_custkey") % 7 == 0, F.lit("")).when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(',"bal":'), number.cast("string"))).otherwise(F.concat(F.lit(',"bal":"'), number.cast("string"), F.lit('"')))
+    return c.select(F.concat(F.lit('{"seg":"'), F.col("c_mktsegment"), F.lit('","key":'), F.col("c_custkey").cast("string"), balance, F.lit("}")).alias("value"))
+
+
+def _customer_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each customer, with an element for each order: none, one or several."""
+    orders = F.array_join(
+        F.transform("orders", lambda o: F.concat(F.lit("<order status='"), o["o_orderstatus"], F.lit("'><price>"), o["o_totalprice"].cast("string"), F.lit("</price></order>"))), ""
+    )
+    shown = F.concat(F.lit("<customer><seg>"), F.col("c_mktsegment"), F.lit("</seg><code>0"), F.col("c_nationkey").cast("string"), F.lit("</code>"), orders, F.lit("</customer>"))
+    return nesting.cust_orders(spark, sf_dir).select(shown.alias("value"))
+
+
+_PER_REGION = {"groupBy": ["name"], "aggregations": [agg("nation.key", "sum", "keys"), agg("nation.name", "count", "n")]}
+_PER_REGION_SQL = f"SELECT r_name AS name, {_dbl('sum(n_nationkey)')} AS keys, {_dbl('count(*)')} AS n FROM {_REGIONS} GROUP BY 1"
+_add_ingested("ingest_json", lambda c, spark, sf_dir: c.register_json("d", json.dumps(_regions(spark, sf_dir))), _PER_REGION, _PER_REGION_SQL)
+_add_ingested("ingest_json_upload", lambda c, spark, sf_dir: c.upload(json.dumps(_regions(spark, sf_dir)).encode(), "application/json", "d"), _PER_REGION, _PER_REGION_SQL)
+_add_ingested("ingest_xml_many", lambda c, spark, sf_dir: c.register_xml("d", _regions_xml(spark, sf_dir), many=True), _PER_REGION, _PER_REGION_SQL)
+_add_ingested(
+    "ingest_xml_upload",
+    lambda c, spark, sf_dir: c.upload(_regions_xml(spark, sf_dir).encode(), "text/xml", "d"),
+    {"aggregations": [agg("region.nation.key", "sum", "keys"), agg("region.nation.@id", "max", "last"), agg("region.name", "count", "regions")]},
+    f"SELECT {_dbl('sum(n_nationkey)')} AS keys, {_dbl('max(n_nationkey)')} AS last, {_dbl('count(DISTINCT r_name)')} AS regions FROM {_REGIONS}",
+)
+for _kind, _value in [("string", "0"), ("integer", "sum(n_nationkey)")]:
+    _add_ingested(
+        f"ingest_xml_xsd_{_kind}",
+        lambda c, spark, sf_dir, kind=_kind: c.register_xml("d", _regions_xml(spark, sf_dir), xsd=_XSD.format(kind=kind)),
+        {"aggregations": [agg("region.nation.key", "sum", "keys"), agg("region.nation.key", "count", "n")]},
+        f"SELECT {_dbl(_value)} AS keys, {_dbl('count(*)')} AS n FROM nation",
+    )
+_add_ingested(
+    "ingest_xml_documents",
+    lambda c, spark, sf_dir: c.register_xml("d", _customer_xml(spark, sf_dir)),
+    {"groupBy": ["seg"], "localFilter": {"order": {"@status": {"$eq": "O"}}}, "aggregations": [agg("order.price", "sum", "total"), agg("order.price", "count", "n"), agg("code", "count_distinct", "codes")]},
+    f"""SELECT c_mktsegment AS seg, {_dbl("coalesce(sum(o_totalprice), 0)")} AS total, {_dbl("count(o_orderkey)")} AS n, {_dbl("count(DISTINCT c_nationkey)")} AS codes
+    FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'O' GROUP BY 1""",
+)
+_add_ingested(
+    "ingest_dynamic",
+    lambda c, spark, sf_dir: c.register_dynamic("d", _customer_lines(spark, sf_dir)),
+    {"groupBy": ["seg"], "aggregations": [agg("bal", "sum", "total"), agg("bal", "count", "n"), agg("key", "count_rows", "rows"), agg("bal", "max", "most")]},
+    f"""SELECT c_mktsegment AS seg, {_dbl("sum(c_acctbal) FILTER (c_custkey % 2 = 0 AND c_custkey % 7 <> 0)")} AS total, {_dbl("count(*) FILTER (c_custkey % 7 <> 0)")} AS n,
+    {_dbl("count(*)")} AS rows, {_dbl("max(c_acctbal) FILTER (c_custkey % 2 = 0 AND c_custkey % 7 <> 0)")} AS most FROM customer GROUP BY 1""",
+)
+_add_ingested(
+    "ingest_dynamic_nested",
+    lambda c, spark, sf_dir: c.register_dynamic("d", nesting.cust_orders(spark, sf_dir).orderBy("c_custkey").select(F.to_json(F.struct("c_mktsegment", "orders")).alias("value"))),
+    {"groupBy": ["c_mktsegment"], "where": {"orders.o_orderstatus": {"$eq": "F"}}, "aggregations": [agg("orders.o_totalprice", "sum", "total"), agg("orders.o_totalprice", "count", "n")]},
+    f"SELECT c_mktsegment, {_dbl('sum(o_totalprice)')} AS total, {_dbl('count(*)')} AS n FROM {_CO} WHERE o_orderstatus = 'F' GROUP BY 1",
+)

@@ -7,12 +7,13 @@ import json
 import logging
 import mimetypes
 import os
+from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import SparkSession
 
-from .catalog import Catalog, to_json
+from .catalog import Catalog, iterate_rows, json_chunks
 from .sources.config import Config, load_config
 from .sources.samples import register_samples
 
@@ -42,13 +43,29 @@ class Handler(BaseHTTPRequestHandler):
 
     def _send(self, body: str | bytes, status: int = 200, kind: str = "application/json") -> None:
         data = body.encode() if isinstance(body, str) else body
+        self._head(status, kind, len(data))
+        self.wfile.write(data)
+
+    def _head(self, status: int, kind: str, size: int | None) -> None:
         self.send_response(status)
         self.send_header("Content-Type", kind)
-        self.send_header("Content-Length", str(len(data)))
+        if size is not None:
+            self.send_header("Content-Length", str(size))
         for name, value in (("Origin", "*"), ("Methods", "GET, POST, OPTIONS"), ("Headers", "Content-Type")):
             self.send_header(f"Access-Control-Allow-{name}", value)
         self.end_headers()
-        self.wfile.write(data)
+
+    def _stream(self, chunks: Iterator[str]) -> None:
+        """Send a body as it is made; it ends where the connection does. Only what fails before the first chunk has a status."""
+        chunk = next(chunks)
+        self._head(200, "application/json", None)
+        self.close_connection = True
+        try:
+            self.wfile.write(chunk.encode())
+            for chunk in chunks:
+                self.wfile.write(chunk.encode())
+        except Exception:
+            logging.getLogger("nestql").exception("the answer to %s was cut off", self.path)
 
     def _fail(self, status: int, what: object) -> None:
         self._send(json.dumps({"error": str(what)}), status)
@@ -73,7 +90,7 @@ class Handler(BaseHTTPRequestHandler):
                 self._send(json.dumps(fields))
             elif url.path == "/api/data":
                 rows = self.catalog.rows(name).toLocalIterator() if self.catalog.get(name) is not None else ()
-                self._send("[" + ",".join(r.value for r in rows) + "]")
+                self._stream(json_chunks(r.value for r in rows))
             elif url.path in ("/api/xsd", "/api/xsd/info"):
                 hints = self.catalog.hints(name)
                 self._send(json.dumps({"dataset": name, "stringPaths": sorted(hints.text_paths), "arrayPaths": sorted(hints.array_paths)}))
@@ -98,7 +115,8 @@ class Handler(BaseHTTPRequestHandler):
         name = (parse_qs(url.query).get("dataset") or [""])[0]
         try:
             if url.path == "/api/aggregate":
-                self._send(to_json(self.catalog.aggregate(self._body(MAX_REQUEST).decode())))
+                found = self.catalog.aggregate(self._body(MAX_REQUEST).decode())
+                self._stream(json_chunks(json.dumps(r, ensure_ascii=False) for r in iterate_rows(found)))
             elif url.path == "/api/upload":
                 name = self.catalog.upload(self._body(MAX_UPLOAD), self.headers.get("Content-Type") or "", name or None)
                 self._send(json.dumps({"dataset": name, "records": self.catalog.get(name).count()}))

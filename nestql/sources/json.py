@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import sys
 from typing import Any
 
@@ -48,15 +49,51 @@ def with_arrays(value: Any, paths: set[str], path: str = "") -> Any:
     return value
 
 
-def json_records(spark: SparkSession, source: str | bytes | list, is_path: bool = False) -> DataFrame:
+def _with_arrays_in_all(lines: DataFrame) -> DataFrame:
+    """JSON texts in which every path that is an array in any of them is one in all. Only the distinct paths reach the driver."""
+
+    def paths(batches):
+        for batch in batches:
+            found = set().union(*[repeated_paths(json.loads(t)) for t in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["value"])
+
+    arrays = {r.value for r in lines.mapInArrow(paths, "value string").distinct().collect()}
+
+    def run(batches):
+        for batch in batches:
+            texts = [json.dumps(with_arrays(json.loads(t), arrays)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["value"])
+
+    return lines.mapInArrow(run, "value string")
+
+
+def _document_lines(texts: DataFrame) -> DataFrame:
+    """The records of documents in the column `value`: an array's elements, or the document."""
+
+    def run(batches):
+        for batch in batches:
+            values = [json.loads(t) for t in batch.column(0).to_pylist() if t.strip()]
+            records = [r for v in values for r in (v if isinstance(v, list) else [v]) if isinstance(r, dict)]
+            yield pa.RecordBatch.from_arrays([pa.array([json.dumps(r) for r in records], pa.string())], ["value"])
+
+    return texts.mapInArrow(run, "value string")
+
+
+def json_records(spark: SparkSession, source: str | bytes | list, is_path: bool = False, mixed: bool = False) -> DataFrame:
     """One row for each record; what is no object is left out, as it has no fields. Types are inferred over all records.
 
-    Where a path is an array in some records and an object in others, in values and texts the object becomes an array of one.
+    Where a path is an array in some records and an object in others, in values and texts the object becomes an array of one,
+    as it does in files if they are said to be `mixed`: those are parsed in Python, all others by Spark's own reader.
 
-    Files are read by Spark, each whole, so a large dataset should be many files (or JSON lines: `spark.read.json`).
+    Files of lines (.jsonl, .ndjson, or compressed so) are split; any other file is read whole, so a large dataset should be
+    many files or lines.
     """
     if is_path:
-        return spark.read.option("multiLine", True).json(source)
+        by_line = re.search(r"\.(jsonl|ndjson)(\.\w+)?$", source, re.I) is not None
+        if not mixed:
+            return spark.read.option("multiLine", not by_line).json(source)
+        lines = _with_arrays_in_all(_document_lines(spark.read.option("wholetext", not by_line).text(source)))
+        return lines.select(F.from_json("value", inferred_schema(lines)).alias("r")).select("r.*")
     values = json.loads(source) if isinstance(source, (str, bytes)) else source
     records = values if isinstance(values, list) else [values]
     paths = set().union(*[repeated_paths(r) for r in records if isinstance(r, dict)])

@@ -97,31 +97,74 @@ def parse_xml_many(xml: str | bytes, hints: Hints = Hints(), options: XmlOptions
     return records
 
 
+_PREFIX = re.compile(r"[<\s/]([A-Za-z_][\w.-]*):[A-Za-z_]")
+
+
+def row_documents(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
+    """A document for each element `row_tag` in the files under a path, in the column `value`.
+
+    Files are split at the element's end tags, so that many tasks read one file. The element must not contain itself,
+    and its tags must not stand in comments or character data. Prefixes that are declared further out are declared anew.
+    """
+    begin = re.compile(rf"<{re.escape(row_tag)}(?=[\s/>])")
+    empty = re.compile(rf"<{re.escape(row_tag)}(?:\s[^<>]*)?/>")
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for part in batch.column(0).to_pylist():
+                found += empty.findall(part)
+                m = begin.search(empty.sub("", part))
+                if m:
+                    found.append(m.string[m.start() :] + f"</{row_tag}>")
+            whole = []
+            for text in found:
+                names = sorted(set(_PREFIX.findall(text)) - {"xml", "xmlns"})
+                declared = "".join(f' xmlns:{n}="urn:{n}"' for n in names if f"xmlns:{n}=" not in text)
+                whole.append(begin.sub(lambda m, d=declared: m[0] + d, text, count=1))
+            yield pa.RecordBatch.from_arrays([pa.array(whole, pa.string())], ["value"])
+
+    parts = spark.read.option("lineSep", f"</{row_tag}>").text(path)
+    return parts.mapInArrow(run, "value string")
+
+
 def xml_records(
-    spark: SparkSession, source: str | bytes, is_path: bool = False, hints: Hints = Hints(), many: bool = False, options: XmlOptions = XmlOptions()
+    spark: SparkSession,
+    source: DataFrame | str | bytes,
+    is_path: bool = False,
+    hints: Hints = Hints(),
+    many: bool = False,
+    options: XmlOptions = XmlOptions(),
+    row_tag: str | None = None,
 ) -> DataFrame:
-    """Records of one document, or of all documents under a path, whose types are inferred over all of them.
+    """Records of one document, or of all documents under a path or in the column `value` of a DataFrame, whose types are
+    inferred over all of them.
 
-    Executors parse a file each, to JSON. A first pass finds the paths that are arrays in any document, so
-    that those are arrays in all, single children included; only those distinct paths reach the driver.
+    Executors parse documents to JSON: a file each, or with `row_tag` an element of a file each. A first pass finds the paths that are arrays in
+    any document, so that those are arrays in all, single children included; only those distinct paths reach the driver.
     """
-    if not is_path:
+    if isinstance(source, DataFrame):
+        documents = source.select(F.col("value"))
+    elif row_tag is not None:
+        documents = row_documents(spark, source, row_tag)
+    elif is_path:
+        documents = spark.read.format("binaryFile").load(source).select("content")
+    else:
         return json_records(spark, (parse_xml_many if many else parse_xml)(source, hints, options))
-    files = spark.read.format("binaryFile").load(source).select("content")
 
     def paths(batches):
         for batch in batches:
-            found = [repeated_paths(r) for body in batch.column(0).to_pylist() for r in parse_xml(body, hints, options)]
+            found = [repeated_paths(r) for body in batch.column(0).to_pylist() for r in parse_xml(body or "", hints, options)]
             yield pa.RecordBatch.from_arrays([pa.array(sorted(set().union(*found)), pa.string())], ["value"])
 
-    arrays = frozenset(r.value for r in files.mapInArrow(paths, "value string").distinct().collect())
+    arrays = frozenset(r.value for r in documents.mapInArrow(paths, "value string").distinct().collect())
     known = Hints(hints.text_paths, hints.array_paths | arrays)
     parse = parse_xml_many if many else parse_xml
 
     def run(batches):
         for batch in batches:
-            texts = [json.dumps(r) for body in batch.column(0).to_pylist() for r in parse(body, known, options) if isinstance(r, dict)]
+            texts = [json.dumps(r) for body in batch.column(0).to_pylist() for r in parse(body or "", known, options) if isinstance(r, dict)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["value"])
 
-    lines = files.mapInArrow(run, "value string")
+    lines = documents.mapInArrow(run, "value string")
     return lines.select(F.from_json("value", inferred_schema(lines)).alias("r")).select("r.*")
