@@ -7,8 +7,10 @@ diagonal are one candidate occurrence, and a banded alignment of template and te
 template's words that occur in order, and where. Texts are never shuffled, and one that quotes no template costs
 only the scan.
 
+A quote with more words put in than a band is wide is found by chaining the runs of equal words around its hits.
+
 Limit: a quote of a template of SHORT words or more is surely met only if K + WINDOW - 1 of its words stand in
-a row as in the template.
+a row as in the template; in a chain, so must words of each part of it.
 """
 
 from __future__ import annotations
@@ -67,6 +69,44 @@ TEMPLATES = {
         "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
         "General Public License for more details."
     ),
+    "LGPL-2.1-or-later": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) "
+        "any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
+        "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public "
+        "License for more details."
+    ),
+    "AGPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+        "any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
+        "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public "
+        "License for more details."
+    ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+        "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+        "PURPOSE ARE DISCLAIMED."
+    ),
+    "BSD-3-Clause-endorsement": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+        "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+        "commercial or non-commercial, and by any means."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+        "liable for any damages arising from the use of this software. Permission is granted to anyone to use this software "
+        "for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the "
+        "following restrictions"
+    ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies."
@@ -251,6 +291,57 @@ def _verbatim(words: np.ndarray, template: np.ndarray, diagonals: np.ndarray) ->
     return found
 
 
+def _runs(words: np.ndarray, template: np.ndarray, pairs: list[tuple[int, int]], lo: int, hi: int) -> list[tuple[int, int, int]]:
+    """(place in the text, place in the template, length) of the longest runs of equal words around the hits between lo and hi."""
+    runs, reached = [], {}
+    for place, word in pairs:
+        diagonal = place - word
+        if place < reached.get(diagonal, lo):
+            continue
+        a, b = place, place
+        while a > lo and a > diagonal and words[a - 1] == template[a - 1 - diagonal]:
+            a -= 1
+        while b < hi and b - diagonal < len(template) and words[b] == template[b - diagonal]:
+            b += 1
+        reached[diagonal] = max(b, place + 1)
+        if b > a:
+            runs.append((a, a - diagonal, b - a))
+    return sorted(runs)
+
+
+def _chained(words, template, pairs, lo, hi, band) -> tuple[int, int, int] | None:
+    """(first word, last word, words found) of the best chain of runs, in order in text and template, with any words
+    of at most the template's length, in all, put in between; what stands between near runs is aligned."""
+    runs = _runs(words, template, pairs, lo, hi)
+    best: list[tuple[int, int]] = []  # words of the best chain that ends with each run, and the run before
+    for i, (x, t, n) in enumerate(runs):
+        top = (n, -1)
+        for j in range(i - 1, -1, -1):
+            u, s, m = runs[j]
+            if x - u > 2 * len(template):
+                break
+            over = max(0, u + m - x, s + m - t)
+            if u < x and s < t and over < n and best[j][0] + n - over > top[0]:
+                top = (best[j][0] + n - over, j)
+        best.append(top)
+    if not best:
+        return None
+    i = max(range(len(best)), key=lambda i: (best[i][0], -i))
+    chain = []
+    while i >= 0:
+        chain.append(runs[i])
+        i = best[i][1]
+    chain.reverse()
+    found, (end_x, end_t) = 0, (chain[0][0], chain[0][1])
+    for x, t, n in chain:
+        if x > end_x and t > end_t and x - end_x <= t - end_t + band:
+            found += len(align(template[end_t:t], words[end_x:x], 0, band))
+        over = max(0, end_x - x, end_t - t)
+        found += n - over
+        end_x, end_t = x + n, t + n
+    return chain[0][0], end_x - 1, found
+
+
 def _occurrences(words, template, pairs, name, coverage, band, k):
     """Align the template along every group of hits whose diagonals lie together; overlapping finds are one.
 
@@ -294,6 +385,12 @@ def _occurrences(words, template, pairs, name, coverage, band, k):
             if (x == 0 or best[x - 1][1] < f["words"][0]) and (x == len(best) or f["words"][1] < best[x][0]):
                 best.insert(x, f["words"])
                 finds.append(f)
+        if not finds and k > 1:
+            # words that were put in may have moved the rest out of every band
+            inside = pairs[bisect_left(places, lo) : bisect_left(places, hi)]
+            chain = _chained(words, template, [(x, y) for x, y in inside if x + k <= hi], lo, hi, band)
+            if chain and chain[2] / len(template) >= coverage:
+                finds = [{"license": name, "coverage": chain[2] / len(template), "words": chain[:2]}]
         if finds:
             accept(lo, hi, finds)
     return found
@@ -326,8 +423,12 @@ def license_matches(
             texts = [t or b"" for t in batch.column(1).to_pylist()]
             found = scan(texts, index, coverage, band)
             for text, matches in zip(texts, found, strict=True):
+                places, at, chars = {}, 0, 0
+                for place in sorted({m[x] for m in matches for x in ("start", "end")}):  # one pass over the text, whatever its matches
+                    chars += len(text[at:place].decode("utf-8", "replace"))
+                    places[place], at = chars, place
                 for m in matches:
-                    m["start"], m["end"] = (len(text[: m[x]].decode("utf-8", "replace")) for x in ("start", "end"))
+                    m["start"], m["end"] = places[m["start"]], places[m["end"]]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
