@@ -9,6 +9,8 @@ language and bucket reaches the driver. Scoring reads every text whole.
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +21,8 @@ from .common import LOWER, WordHashes, chunks_by_size, held_out
 BUCKETS = 1 << 16
 CHUNK = 1 << 21
 UNKNOWN = "und"
+#: Most languages that a model can have (half a megabyte each in every task), and most that a task counts before it passes counts on.
+MAX_LANGUAGES, COUNTED_AT_ONCE = 200, 32
 
 #: First code points of blocks and the script of each; from the Unicode block list.
 _SCRIPT_STARTS = [
@@ -34,21 +38,26 @@ _SCRIPT_STARTS = [
 ]
 SCRIPTS = sorted({s for _, s in _SCRIPT_STARTS} - {"Common"})
 _STARTS = np.array([a for a, _ in _SCRIPT_STARTS])
-#: One bit for the script of each range, 0 where it has no letters of its own.
-_BITS = np.array([0 if s == "Common" else 1 << SCRIPTS.index(s) for _, s in _SCRIPT_STARTS], np.int64)
+#: One bit for the script of each range; letters in a range of none are of the script "Other".
+_BITS = np.array([1 << SCRIPTS.index("Other" if s == "Common" else s) for _, s in _SCRIPT_STARTS], np.int64)
+
+
+def letter_bits() -> bytes:
+    """A bit for each code point, set where its Unicode category is that of a letter; made on the driver and sent to the tasks."""
+    return np.packbits([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)]).tobytes()
 
 
 class Words:
     """The words of many texts with letters: trigram and word buckets, and the scripts of their letters."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], letters: np.ndarray):
         w = WordHashes([t.translate(LOWER) for t in texts], lower=False)
         data = w.data
         b = np.concatenate((data, np.zeros(2, np.uint8))).astype(np.uint32)
         before = np.concatenate(([np.uint32(10)], b[: len(data)]))[: len(data)]
         tri = (before << np.uint32(16)) | (b[: len(data)] << np.uint32(8)) | b[1 : len(data) + 1]
         self.trigram = ((tri * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64)
-        script = self._scripts(data)
+        script = self._scripts(data, letters)
         bits = np.bitwise_or.reduceat(script, w.byte_start) if len(w.byte_start) else np.zeros(0, np.int64)
         if len(w.byte_start):  # reduceat runs on to the next word's start; white space between them has no script
             keep = bits != 0
@@ -61,8 +70,8 @@ class Words:
         self.text_start = w.text_start
 
     @staticmethod
-    def _scripts(data: np.ndarray) -> np.ndarray:
-        """The script bit of the character that begins at each byte; 0 for continuation bytes."""
+    def _scripts(data: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The script bit of the letter that begins at each byte; 0 for other characters and for continuation bytes."""
         ascii_letter = ((data >= 65) & (data <= 90)) | ((data >= 97) & (data <= 122))
         out = np.where(ascii_letter, _BITS[1], 0)
         lead = np.flatnonzero(data >= 0xC2)
@@ -74,54 +83,77 @@ class Words:
                 ((b0 & 31) << 6) | b1,
                 np.where(b0 < 0xF0, ((b0 & 15) << 12) | (b1 << 6) | b2, ((b0 & 7) << 18) | (b1 << 12) | (b2 << 6) | b3),
             )
+            code = np.minimum(code, 0x10FFFF)
             bit = _BITS[np.searchsorted(_STARTS, code, side="right") - 1]
-            bit[(code == 0xD7) | (code == 0xF7)] = 0
-            out[lead] = bit
+            out[lead] = np.where(letters[code], bit, 0)
         return out
 
 
 class Model:
     """Languages in order, a score per trigram and word bucket and language, and each language's scripts.
 
-    `known` is the log of how much likelier each trigram bucket is in the learned texts than by chance.
+    `known` is the log of how much likelier each trigram bucket is in the learned texts than by chance; `packed` has a
+    bit for each code point that is a letter. Tasks are sent `plain()`, as they may not have the package.
     """
 
-    def __init__(self, langs: list[str], trigram: np.ndarray, word: np.ndarray, scripts: np.ndarray, known: np.ndarray):
-        self.langs, self.trigram, self.word, self.scripts, self.known = langs, trigram, word, scripts, known
-
-
-def _count_rows(batches):
-    """(lang, kind, bucket, n): kind 0 trigrams, 1 words, 2 letters' scripts, added up per task."""
-    sums: dict[str, np.ndarray] = {}
-    for batch in batches:
-        langs = np.array(batch.column(0).to_pylist(), object)
-        texts = batch.column(1).to_pylist()
-        for lang in sorted(set(langs)):
-            own = [texts[i] for i in np.flatnonzero(langs == lang)]
-            for i, j in chunks_by_size(own, CHUNK):
-                w = Words(own[i:j])
-                total = sums.setdefault(lang, np.zeros(2 * BUCKETS + len(SCRIPTS), np.int64))
-                inside = np.zeros(len(w.trigram) + 1, np.int64)
-                np.add.at(inside, w.start, 1)
-                np.add.at(inside, w.end, -1)
-                total[:BUCKETS] += np.bincount(w.trigram[np.cumsum(inside[:-1]) > 0], minlength=BUCKETS)
-                total[BUCKETS : 2 * BUCKETS] += np.bincount(w.word, minlength=BUCKETS)
-                for s in range(len(SCRIPTS)):
-                    total[2 * BUCKETS + s] += int(((w.script >> s) & 1).sum())
-    for lang, total in sums.items():
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "bucket", "n"]
-        )
+    def __init__(self, langs: list[str], trigram: np.ndarray, word: np.ndarray, scripts: np.ndarray, known: np.ndarray, packed: bytes):
+        self.langs, self.trigram, self.word, self.scripts, self.known, self.packed = langs, trigram, word, scripts, known, packed
+        self.letters = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
+
+    def plain(self) -> tuple:
+        return self.langs, self.trigram, self.word, self.scripts, self.known, self.packed
+
+
+def _counter(packed: bytes):
+    """(lang, bucket, n): trigrams, then words, then letters' scripts, added up per task."""
+
+    def flush(sums):
+        for lang, total in sums.items():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "bucket", "n"]
+            )
+        sums.clear()
+
+    def run(batches):
+        letters = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs = np.array(batch.column(0).to_pylist(), object)
+            texts = batch.column(1).to_pylist()
+            for lang in sorted(set(langs)):
+                if len(sums) >= COUNTED_AT_ONCE and lang not in sums:
+                    yield from flush(sums)
+                own = [texts[i] for i in np.flatnonzero(langs == lang)]
+                for i, j in chunks_by_size(own, CHUNK):
+                    w = Words(own[i:j], letters)
+                    total = sums.setdefault(lang, np.zeros(2 * BUCKETS + len(SCRIPTS), np.int64))
+                    inside = np.zeros(len(w.trigram) + 1, np.int64)
+                    np.add.at(inside, w.start, 1)
+                    np.add.at(inside, w.end, -1)
+                    total[:BUCKETS] += np.bincount(w.trigram[np.cumsum(inside[:-1]) > 0], minlength=BUCKETS)
+                    total[BUCKETS : 2 * BUCKETS] += np.bincount(w.word, minlength=BUCKETS)
+                    for s in range(len(SCRIPTS)):
+                        total[2 * BUCKETS + s] += int(((w.script >> s) & 1).sum())
+        yield from flush(sums)
+
+    return run
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from every row that has a text and a language and is not held out; no such row gives no languages."""
+    """Learn from every row that has a text and a language and is not held out; no such row gives no languages.
+
+    Rows that repeat count as often as they are there; rows with a null id, text or language are not used, and other
+    columns are ignored. More than MAX_LANGUAGES languages are refused, as a task could not hold their model.
+    """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col)).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").cast("binary").alias("text")
     )
-    got = rows.mapInArrow(_count_rows, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(set(got.column("lang").to_pylist()))
+    langs = sorted(r.lang for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(langs) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages in {lang_col!r}")
+    packed = letter_bits()
+    got = rows.mapInArrow(_counter(packed), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((2 * BUCKETS + len(SCRIPTS), len(langs)))
     number = {x: i for i, x in enumerate(langs)}
     counts[got.column("bucket").to_numpy(), [number[x] for x in got.column("lang").to_pylist()]] = got.column("n").to_numpy()
@@ -133,7 +165,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     scripts = np.array([sum(1 << s for s in range(len(SCRIPTS)) if seen[s, k] > 0.01 * seen[:, k].sum()) for k in range(len(langs))], np.int64)
     seen_by_all = counts[:BUCKETS].sum(1)
     known = np.log((seen_by_all + 0.5) / (seen_by_all.sum() + 0.5 * BUCKETS) * BUCKETS).astype(np.float32)
-    return Model(langs, parts[0], parts[1], scripts, known)
+    return Model(langs, parts[0], parts[1], scripts, known, packed)
 
 
 def _viterbi(score: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
@@ -147,7 +179,7 @@ def _viterbi(score: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     begin, n = first[order], n[order]
     alive = np.searchsorted(-n, -np.arange(n[0]), side="left")  # texts with more than t words
     back = np.zeros(score.shape, np.int8 if score.shape[1] < 128 else np.int32)
-    state = score[begin].copy()
+    state = score[begin].astype(np.float64)
     own = np.arange(score.shape[1])
     for t in range(1, n[0]):
         k = alive[t]
@@ -169,8 +201,11 @@ def _viterbi(score: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
 
 
 def label_words(texts: list[bytes], model: Model, penalty: float = 6.0) -> tuple[Words, np.ndarray, np.ndarray]:
-    """(words, label of each word, margin-scaled score of each word and language)."""
-    w = Words(texts)
+    """(words, label of each word, score of each word and language).
+
+    A language whose texts have none of a word's scripts is no choice for it; a word in scripts of no language says nothing.
+    """
+    w = Words(texts, model.letters)
     n_lang = len(model.langs)
     if not len(w.start) or not n_lang:
         return w, np.zeros(0, np.int64), np.zeros((0, n_lang), np.float32)
@@ -180,8 +215,13 @@ def label_words(texts: list[bytes], model: Model, penalty: float = 6.0) -> tuple
         total = np.concatenate(([0.0], np.cumsum(model.trigram[w.trigram, k], dtype=np.float64)))
         score[:, k] = total[w.end] - total[w.start] + model.word[w.word, k]
     fits = (w.script[:, None] & model.scripts[None, :]) != 0
-    score[~fits & fits.any(1, keepdims=True)] -= 50
-    return w, _viterbi(np.clip(score - score.max(1, keepdims=True), -12, 0), w.first, penalty), score
+    some = fits.any(1)
+    score[~fits & some[:, None]] = -np.inf
+    score[~some] = 0
+    # a word counts for 12 at most, but no chain of words makes up for a script
+    margin = np.maximum(score - score.max(1, keepdims=True), -12)
+    margin[~fits & some[:, None]] = -1e6
+    return w, _viterbi(margin, w.first, penalty), score
 
 
 def predict_texts(texts: list[bytes], model: Model, penalty: float = 6.0) -> tuple[list[str], np.ndarray]:
@@ -221,7 +261,7 @@ def familiarity(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarra
     """
     sizes, means = [], []
     for i, j in chunks_by_size(texts, CHUNK):
-        w = Words(texts[i:j])
+        w = Words(texts[i:j], model.letters)
         total = np.concatenate(([0.0], np.cumsum(model.known[w.trigram], dtype=np.float64)))
         data = np.frombuffer(b"\n".join(texts[i:j]), np.uint8)
         digits = np.concatenate(([0], np.cumsum((data >= 48) & (data <= 57))))
@@ -237,18 +277,21 @@ def familiarity(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarra
 def languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 6.0, spans: bool = False) -> DataFrame:
     """One row (id, held_out, lang_pred, score[, spans]) for each row of docs.
 
-    A text that is null or has no letter is `und` with score 0. Ties go to the language first in order.
+    A text that is null, empty or has no letter (by Unicode category) is `und` with score 0, as is every text for a model
+    without languages. Ties go to the language first in order. Rows are judged one by one, whole, so repeats stay
+    repeats; a null id counts as held out; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def run(batches):
+        model = Model(*shared.value)
         for batch in batches:
             texts = [t or b"" for t in batch.column(2).to_pylist()]
-            langs, score = predict_texts(texts, shared.value, penalty)
+            langs, score = predict_texts(texts, model, penalty)
             columns = [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(score, pa.float64())]
             if spans:
-                found = [language_spans(t.decode("utf-8", "replace"), shared.value, penalty) for t in texts]
+                found = [language_spans(t.decode("utf-8", "replace"), model, penalty) for t in texts]
                 columns.append(pa.array([[{"start": a, "end": b, "lang": x} for a, b, x in f] for f in found], kind))
             yield pa.RecordBatch.from_arrays(columns, ["id", "held_out", "lang_pred", "score", "spans"][: len(columns)])
 
@@ -267,13 +310,14 @@ def drop_unsure_language(
     the learned languages, so texts whose trigrams are on average no likelier in these than by chance go too
     (`least_known`): gibberish and other languages. Words of fewer than `evidence` bytes are too few to tell.
     """
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model.plain()), docs.columns.index(text_col)
 
     def run(batches):
+        model = Model(*shared.value)
         for batch in batches:
             texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
-            langs, score = predict_texts(texts, shared.value, penalty)
-            n, known = familiarity(texts, shared.value)
+            langs, score = predict_texts(texts, model, penalty)
+            n, known = familiarity(texts, model)
             sure = (score >= threshold) & ((known >= least_known) | (n < evidence))
             yield batch.filter(pa.array(sure & np.array([x != UNKNOWN for x in langs], bool), pa.bool_()))
 
