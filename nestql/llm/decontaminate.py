@@ -1,27 +1,29 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised test texts.
 
-Each test text gives windows of 13 consecutive words (or all its words, where it has fewer). Every known
-word becomes one symbol, any other word a symbol that no window has, so the automaton's size is that of
-the windows in words and a document is scanned once. Hits are mapped back to offsets in the original text.
-
-Test texts are read by the driver in shards of bounded size; each shard is one automaton and all shards
-scan a batch of documents one after the other in the same pass. What a task holds is bounded: test texts of
-more than SHARD_BYTES * MAX_SHARDS are refused. Documents are never shuffled.
+A document is hit where a window of 13 consecutive words of a test text (or all its words, where it has fewer) occurs.
+Every known word becomes one symbol, any other word a symbol that no test text has. The automaton holds each test
+text's blocks of 7 words side by side: any window holds a whole block, so a document is scanned once for blocks, and
+where one is met the words around it are compared to the test text's for as long as they are equal. That costs one node
+for a word of test text, where the windows themselves would cost thirteen. Hits are mapped back to offsets in the original text.
+
+An automaton takes about 25 times the bytes of its test texts. A task holds one, over SHARD_BYTES of them; more test
+texts are scanned for in several passes over the documents, with what was found so far in a checkpoint in between.
+Documents are never shuffled.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LOWER
+from .common import LOWER, cut, free_name
 
-#: Bytes of test text that one automaton covers, and the most automata that a task holds.
-SHARD_BYTES, MAX_SHARDS = 32 << 20, 8
+#: Bytes of test text that one automaton covers.
+SHARD_BYTES = 8 << 20
 #: Runs of the bytes of digits, a-z and all characters from U+0080, once A-Z is in lower case.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _FIRST_SYMBOL, _SURROGATES, _LAST_SYMBOL = 1, range(0xD800, 0xE000), 0x10FFFF
@@ -33,23 +35,31 @@ def normalise(text: str | bytes | None) -> bytes:
 
 
 class Automaton:
-    """Windows of (item id, text) pairs; `scan` gives the word intervals and items that occur."""
+    """Blocks of (item id, text) pairs; `scan` gives the word intervals that windows cover, and the items whose windows occur."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int):
         import ahocorasick
 
-        self.symbols: dict[bytes, str] = {}
-        found: dict[str, set] = {}
+        self.window, self.symbols = window, {}
+        self.items, self.coded = [], []
+        block = (window + 1) // 2
+        whole: dict[str, list[int]] = {}  # items of fewer words than a window
+        blocks: dict[str, list[tuple[int, int]]] = {}
         for item, text in items:
-            words = WORD.findall(normalise(text))
-            coded = "".join([self._symbol(w) for w in words])
-            for i in range(max(1, len(coded) - window + 1) if coded else 0):
-                found.setdefault(coded[i : i + window], set()).add(item)
+            coded = "".join([self._symbol(w) for w in WORD.findall(normalise(text))])
+            number = len(self.items)
+            self.items.append(item)
+            self.coded.append(coded)
+            if len(coded) >= window:
+                for i in range(0, len(coded) - block + 1, block):
+                    blocks.setdefault(coded[i : i + block], []).append((number, i))
+            elif coded:
+                whole.setdefault(coded, []).append(number)
         self.machine = ahocorasick.Automaton()
-        for coded, owners in found.items():
-            self.machine.add_word(coded, (len(coded), owners))
-        self.empty = not found
-        if found:
+        for coded in whole.keys() | blocks.keys():
+            self.machine.add_word(coded, (len(coded), whole.get(coded, ()), blocks.get(coded, ())))
+        self.empty = not whole and not blocks
+        if not self.empty:
             self.machine.make_automaton()
 
     def _symbol(self, word: bytes) -> str:
@@ -65,11 +75,31 @@ class Automaton:
         if self.empty:
             return [], set()
         get = self.symbols.get
-        spans, items = [], set()
-        for end, (length, owners) in self.machine.iter("".join([get(w, "\0") for w in words])):
-            items |= owners
-            spans.append((end - length + 1, end + 1))
-        return spans, items
+        text = "".join([get(w, "\0") for w in words])
+        spans: set[tuple[int, int]] = set()
+        items: set[int] = set()
+        reached: dict[tuple[int, int], int] = {}  # of an item laid on the text at a place, how far it was compared
+        for last, (length, whole, blocks) in self.machine.iter(text):
+            begin, end = last - length + 1, last + 1
+            if whole:
+                spans.add((begin, end))
+                items.update(whole)
+            for number, place in blocks:
+                laid = (number, begin - place)
+                if reached.get(laid, 0) >= end:
+                    continue
+                item, shift = self.coded[number], begin - place
+                a, b = begin, end
+                while a > 0 and a > shift and text[a - 1] == item[a - 1 - shift]:
+                    a -= 1
+                stop = min(len(text), len(item) + shift)
+                while b < stop and text[b] == item[b - shift]:
+                    b += 1
+                reached[laid] = b
+                if b - a >= self.window:
+                    spans.add((a, b))
+                    items.add(number)
+        return list(spans), {self.items[i] for i in items}
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -82,15 +112,17 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def judge(text: bytes | None, machines: list[Automaton]) -> dict:
+def judge(text: bytes | None, machine: Automaton, spans=(), items=()) -> dict:
+    """What is known of a text with what `machine` finds in it, besides the spans of words and the items found before."""
     data = normalise(text)
     words = WORD.findall(data)
-    spans, items = [], set()
-    for m in machines:
-        s, i = m.scan(words)
-        spans += s
-        items |= i
-    spans = merged(spans)
+    more, found = machine.scan(words)
+    spans = merged([*spans, *more])
+    return {"data": data, "n_words": len(words), "spans": spans, "items": found.union(items)}
+
+
+def verdict(found: dict) -> dict:
+    data, spans = found["data"], found["spans"]
     hit = sum(b - a for a, b in spans)
     offsets = []
     if spans:
@@ -104,28 +136,58 @@ def judge(text: bytes | None, machines: list[Automaton]) -> dict:
                 pair.append(chars)
             offsets.append({"start": pair[0], "end": pair[1]})
     return {
-        "n_words": len(words),
+        "n_words": found["n_words"],
         "n_hit": hit,
-        "items": sorted(i for i in items if i is not None),
+        "items": sorted(i for i in found["items"] if i is not None),
         "spans": offsets,
-        "contaminated": hit > 0 and 20 * hit >= len(words),
+        "contaminated": hit > 0 and 20 * hit >= found["n_words"],
     }
 
 
-def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_bytes: int) -> list[list]:
+def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_bytes: int):
     """The test texts in lists of about shard_bytes each, read one shard at a time."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // shard_bytes) or 1
-    if n > MAX_SHARDS and size > SHARD_BYTES * MAX_SHARDS:
-        raise ValueError(f"{size} bytes of test text; at most {SHARD_BYTES * MAX_SHARDS} fit in the tasks")
-    return [
-        [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).distinct().toLocalIterator()] for k in range(n)
-    ]
+    for k in range(n):
+        yield k == n - 1, [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).distinct().toLocalIterator()]
+
+
+_FOUND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
+
 
+def _judged(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, shard_bytes: int):
+    """(docs, a function): docs with what all test texts but the last shard's give, in two columns behind its own if there are several shards,
+    and a function from a batch of them to what all give of each row's text."""
+    rows, at, width = docs, docs.columns.index(text_col), len(docs.columns)
+    for last, items in _shards(benchmark, item_col, item_text_col, shard_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast({"items": items})
 
-def _broadcast(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, shard_bytes: int) -> list:
-    return [docs.sparkSession.sparkContext.broadcast(s) for s in _shards(benchmark, item_col, text_col, shard_bytes)]
+        def judged(batch, shared=shared):
+            held = shared.value
+            if "machine" not in held:  # once in each worker process, which keeps what is broadcast
+                held["machine"] = Automaton(held.pop("items"), window)
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            before = [c.to_pylist() for c in batch.columns[width:]] or [[()] * len(texts)] * 2
+            for text, spans, names in zip(texts, *before, strict=True):
+                yield judge(text, held["machine"], [(s["start"], s["end"]) for s in spans], names)
+
+        if last:
+            return rows, judged
+        names = [free_name(docs, "found_spans"), free_name(docs, "found_items")]
+
+        def run(batches, judged=judged):
+            for batch in batches:
+                found = list(judged(batch))
+                spans = [[{"start": a, "end": b} for a, b in f["spans"]] for f in found]
+                columns = [pa.array(spans, _FOUND[0]), pa.array([sorted(f["items"], key=lambda i: (i is not None, i)) for f in found], _FOUND[1])]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *columns], [*batch.schema.names[:width], *names])
+
+        schema = T.StructType([*docs.schema.fields])
+        pair = T.StructType().add("start", T.LongType()).add("end", T.LongType())
+        schema = schema.add(names[0], T.ArrayType(pair)).add(names[1], T.ArrayType(T.StringType()))
+        rows = cut(rows.mapInArrow(run, schema))
+        shared.unpersist()
 
 
 _RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>, contaminated boolean"
@@ -156,16 +218,15 @@ def contamination(
     id still marks hits but is not listed; items that repeat an id are one item. Rows are judged one by
     one, so repeats and nulls in other columns change nothing.
     """
-    shards = _broadcast(docs, benchmark, item_col, item_text_col, shard_bytes)
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    rows, judged = _judged(plain, benchmark, "text", item_col, item_text_col, window, shard_bytes)
 
     def run(batches):
-        machines = [Automaton(s.value, window) for s in shards]
         for batch in batches:
-            judged = pa.array([judge(t, machines) for t in batch.column(1).to_pylist()], _ARROW)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *judged.flatten()], ["id", *[f.name for f in _ARROW]])
+            found = pa.array([verdict(f) for f in judged(batch)], _ARROW)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found.flatten()], ["id", *[f.name for f in _ARROW]])
 
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary"))
-    return plain.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, {_RESULT}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, {_RESULT}").withColumnRenamed("id", id_col)
 
 
 def drop_contaminated(
@@ -178,17 +239,12 @@ def drop_contaminated(
     shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """The rows of docs, with all their columns, that are not contaminated; null and empty texts stay."""
-    shards = _broadcast(docs, benchmark, item_col, item_text_col, shard_bytes)
-    at = docs.columns.index(text_col)
+    rows, judged = _judged(docs, benchmark, text_col, item_col, item_text_col, window, shard_bytes)
+    width = len(docs.columns)
 
     def run(batches):
-        machines = [Automaton(s.value, window) for s in shards]
         for batch in batches:
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
-            yield batch.filter(pa.array([not judge(t, machines)["contaminated"] for t in texts], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
-
+            clean = pa.array([not verdict(f)["contaminated"] for f in judged(batch)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(batch.columns[:width], batch.schema.names[:width]).filter(clean)
 
-def items_digest(items) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    return rows.mapInArrow(run, docs.schema)
