@@ -54,42 +54,138 @@ def _pick(number: Column, values: list[str]) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), number) if values else F.lit(None).cast("string")
 
 
-def normal_url(url: Column) -> Column:
-    """The url without fragment, with scheme and host in lower case and at least / as path."""
-    bare = F.regexp_replace(F.trim(url), r"(?s)#.*$", "")
-    front = F.regexp_extract(bare, r"(?s)^(.*?://[^/?#]*)", 1)
-    rest = F.substring(bare, F.length(front) + 1, F.length(bare))
-    return F.when(front != "", F.concat(F.translate(front, _UPPER, _LOWER), F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))))
-
-
-def resolve(base: Column, link: Column) -> Column:
-    """The absolute url of a link on the page `base`; null if the link is empty or only a fragment."""
-    link = F.regexp_replace(F.trim(link), "&amp;", "&")
-    front = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
-    scheme = F.regexp_extract(base, r"(?s)^(.*?:)//", 1)
-    path = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+_FRONT, _PATH = r"(?s)^(.*?://[^/?#]*)", r"(?s)^.*?://[^/?#]*([^?#]*)"
+
+
+def _once(rows: DataFrame, column: str, value: Column) -> DataFrame:
+    """rows with the column set to the value, which is computed there and once.
+
+    The optimizer moves filters below a projection by writing the projection's expressions out in them, and again for each
+    projection below, until they outgrow all memory; it does not move them below a generator.
+    """
+    return rows.select(*[c for c in rows.columns if c != column], F.explode(F.array(value)).alias(column))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path with its . and .. segments resolved."""
+    parts = F.split(path, "/")
+    first = F.array().cast("array<string>")
+    kept = F.aggregate(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))),
+        first,
+        lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))),
+    )
+    open_end = F.element_at(parts, -1).isin(".", "..") & (F.size(kept) >= 0)
+    joined = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(open_end & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), joined).otherwise(path)
+
+
+def _normal(urls: DataFrame, column: str) -> DataFrame:
+    """urls with the column in normal form: no fragment or default port, scheme and host in lower case, a path of at least / without dot segments.
+
+    What is no url of a host becomes null. Parts are columns of their own, so that each is computed once.
+    """
+    c, front, rest, cut_at = F.col(column), F.col("__front"), F.col("__rest"), F.col("__cut")
+    others = [x for x in urls.columns if x != column]
+    bare = urls.select(*others, F.regexp_replace(F.trim(c), r"(?s)#.*$", "").alias(column))
+    split = bare.select(*others, column, F.translate(F.regexp_extract(column, _FRONT, 1), _UPPER, _LOWER).alias("__front"), F.length(F.regexp_extract(column, _FRONT, 1)).alias("__cut"))
+    parts = split.select(*others, F.regexp_replace(F.regexp_replace("__front", r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1").alias("__front"), F.substr(c, cut_at + 1).alias("__rest"))
+    paths = parts.select(*others, "__front", F.regexp_extract("__rest", r"(?s)^([^?]*)", 1).alias("__path"), "__rest")
+    whole = F.concat(front, F.when(F.col("__path").startswith("/"), _without_dots(F.col("__path"))).otherwise(F.concat(F.lit("/"), F.col("__path"))), F.substr(rest, F.length("__path") + 1))
+    return _once(paths, column, F.when(front != "", whole)).select(*others, column)
+
+
+def _decoded(text: Column) -> Column:
+    """Text with its numeric character references and the five that XML names decoded; &amp; last, as it gives what looks like others."""
+
+    def one(part):
+        digits = F.regexp_extract(part, r"^&#(?:[xX]([0-9A-Fa-f]{1,6})|([0-9]{1,7}));?", 1)
+        tens = F.regexp_extract(part, r"^&#(?:[xX]([0-9A-Fa-f]{1,6})|([0-9]{1,7}));?", 2)
+        code = F.when(digits != "", F.conv(digits, 16, 10)).otherwise(tens).try_cast("int")
+        rest = F.regexp_replace(part, r"^&#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});?", "")
+
+        def char(x):
+            """UTF-8 of a code point that is no surrogate."""
+            tail = [F.lit(128) + F.shiftrightunsigned(x, n).bitwiseAND(F.lit(63)) for n in (12, 6, 0)]
+            units = (
+                F.when(x < 0x80, F.array(x))
+                .when(x < 0x800, F.array(F.lit(192) + F.shiftrightunsigned(x, 6), tail[2]))
+                .when(x < 0x10000, F.array(F.lit(224) + F.shiftrightunsigned(x, 12), *tail[1:]))
+                .otherwise(F.array(F.lit(240) + F.shiftrightunsigned(x, 18), *tail))
+            )
+            return F.decode(F.unhex(F.array_join(F.transform(units, lambda u: F.lpad(F.hex(u), 2, "0")), "")), "UTF-8")
+
+        usable = lambda x: (x >= 32) & (x <= 0x10FFFF) & ~x.between(0xD800, 0xDFFF)
+        return F.get(F.transform(F.array(code), lambda x: F.when(usable(x), F.concat(char(x), rest)).otherwise(part)), F.lit(0))
+
+    numeric = F.when(text.contains("&#"), F.array_join(F.transform(F.split(text, "(?=&#)"), one), "")).otherwise(text)
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        numeric = F.regexp_replace(numeric, f"&{name};" + ("?" if name == "amp" else ""), char)
+    return numeric
+
+
+def _resolved(links: DataFrame, base: str, link: str) -> DataFrame:
+    """links with the column `link` as an absolute url by the url in `base`; null if it is empty, only a fragment, or has another scheme."""
+    others = [c for c in links.columns if c != link]
+    parts = _once(links, link, _decoded(F.trim(F.col(link)))).select(
+        *others,
+        link,
+        F.regexp_extract(base, _FRONT, 1).alias("__front"),
+        F.regexp_extract(base, r"(?s)^(.*?:)//", 1).alias("__scheme"),
+        F.regexp_extract(base, _PATH, 1).alias("__path"),
+    )
+    x, front, path = F.col(link), F.col("__front"), F.col("__path")
     folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
-    return (
-        F.when((link == "") | link.startswith("#") | (front == ""), F.lit(None))
-        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-        .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(front, link))
-        .when(link.startswith("?"), F.concat(front, path, link))
-        .otherwise(F.concat(front, F.when(folder == "", F.lit("/")).otherwise(folder), link))
+    whole = (
+        F.when((x == "") | x.startswith("#") | (front == ""), F.lit(None))
+        .when(x.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), x)
+        .when(x.startswith("//"), F.concat("__scheme", x))
+        .when(x.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(x.startswith("/"), F.concat(front, x))
+        .when(x.startswith("?"), F.concat(front, path, x))
+        .otherwise(F.concat(front, F.when(folder == "", F.lit("/")).otherwise(folder), x))
     )
+    return _once(parts, link, whole).select(*others, link)
+
+
+def _attribute(name: str) -> str:
+    return rf"""(?<![\w-]){name}\s*=\s*(?:"\s*([^"]*)"|'\s*([^']*)'|([^"'\s>]+))"""
+
+
+_CANONICAL = r"""(?is)<link\b(?=[^>]*(?<![\w-])rel\s*=\s*["']?[^"'>]*(?<![\w-])canonical(?![\w-]))[^>]*>"""
+_REFRESH = r"""(?is)<meta\b(?=[^>]*(?<![\w-])http-equiv\s*=\s*["']?refresh(?![\w-]))[^>]*>"""
+
+
+def _value(tag: Column, name: str) -> Column:
+    pattern = "(?is)" + _attribute(name)
+    return F.concat(*[F.coalesce(F.regexp_extract(tag, pattern, i), F.lit("")) for i in (1, 2, 3)])
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Rows (src, dst) of normal urls: from each page to its canonical link and to its refresh redirect."""
+    """Rows (src, dst) of normal urls: from each page to its canonical links and to its refresh redirects.
+
+    What stands in comments, scripts and styles is no link. Links are resolved by the page's base element, if it has one, and
+    else by its url.
+    """
     page = F.col(html_col)
-    head = pages.where(F.col(url_col).isNotNull() & page.rlike(r"(?i)canonical|http-equiv")).select(F.col(url_col).alias("url"), page.alias("html"))
-    canonical = F.regexp_extract("html", r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]*)""", 1)
-    refresh = F.regexp_extract("html", r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]*)""", 1)
-    return (
-        head.select("url", F.explode(F.array(canonical, refresh)).alias("link"))
-        .select(normal_url(F.col("url")).alias("src"), normal_url(resolve(F.col("url"), F.col("link"))).alias("dst"))
-        .where("src is not null and dst is not null and src <> dst")
-    )
+    found = pages.where(F.col(url_col).isNotNull() & page.rlike(r"(?i)canonical|http-equiv")).select(F.col(url_col).alias("url"), page.alias("html"))
+    head = _once(found, "html", F.regexp_replace("html", r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|textarea)\b.*?(?:</\1\s*>|\z)", ""))
+    tags = head.select(
+        F.col("url").alias("src"),
+        F.col("url").alias("page"),
+        _value(F.regexp_extract("html", r"(?is)<base\b[^>]*>", 0), "href").alias("base"),
+        F.explode(
+            F.concat(
+                F.transform(F.regexp_extract_all("html", F.lit(_CANONICAL), F.lit(0)), lambda t: _value(t, "href")),
+                F.transform(
+                    F.regexp_extract_all("html", F.lit(_REFRESH), F.lit(0)), lambda t: F.regexp_extract(_value(t, "content"), r"""(?is)url\s*=\s*["']?([^"']*)""", 1)
+                ),
+            )
+        ).alias("dst"),
+    ).where("dst <> ''")
+    based = _once(_resolved(tags, "page", "base"), "base", F.coalesce("base", "page"))
+    urls = _normal(_normal(_resolved(based, "base", "dst").select("src", "dst"), "src"), "dst")
+    return urls.where("src is not null and dst is not null and src <> dst")
 
 
 def url_verdicts(
@@ -107,18 +203,16 @@ def url_verdicts(
     """
     edges = page_links(pages, url_col, html_col)
     if redirects is not None:
-        edges = edges.union(redirects.select(normal_url(F.col("src")).alias("src"), normal_url(F.col("dst")).alias("dst")))
+        edges = edges.union(_normal(_normal(redirects.select("src", "dst"), "src"), "dst"))
     alias = connected_components(edges)
     verdicts = [r.verdict for r in rules]
     blocked = (
         alias.where(_pick(rule_number(host_of(F.col("node")), path_of(F.col("node")), rules), verdicts) == "block").select("component").distinct()
     )
     tainted = alias.join(blocked, "component").select(F.col("node").alias("alias"), F.lit(True).alias("tainted"))
-    judged = (
-        pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
-        .select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.coalesce(normal_url(F.col("url")), F.col("id").cast("string")).alias("alias"))  # no url: a key of its own, equal to none
-        .withColumn("number", rule_number(F.col("host"), F.col("path"), rules))
-    )
+    urls = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(url_col).alias("alias"))
+    # no url: a key of its own, equal to none
+    judged = _normal(urls, "alias").withColumn("alias", F.coalesce("alias", F.col("id").cast("string"))).withColumn("number", rule_number(F.col("host"), F.col("path"), rules))
     return judged.join(tainted, "alias", "left").select(
         F.col("id").alias(id_col),
         "host",
