@@ -15,11 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared spark.checkpoint.dir; set a folder only where none is configured, as in tests."""
+    """Use the cluster's shared spark.checkpoint.dir. Only a session in one process may do without: it gets a temporary folder."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="nestql-checkpoint-"))
 
 
@@ -29,18 +31,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written as a Parquet table under the shared checkpoint folder and read again.
+class Stored:
+    """Rows written as a Parquet table under the shared checkpoint folder, and read again as `df`.
 
-    The table is deleted when the driver ends.
+    The table is deleted by `drop`, else when the driver ends.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
-    return spark.read.parquet(path)
+
+    def __init__(self, df: DataFrame, name: str):
+        spark = df.sparkSession
+        ensure_checkpoint_dir(spark)
+        path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}.parquet"
+        df.write.parquet(path)
+        self._path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self._files = self._path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        self._files.deleteOnExit(self._path)
+        self.df = spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        self._files.delete(self._path, True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from a Parquet table that lasts as long as the driver."""
+    return Stored(df, name).df
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -22,26 +22,30 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(low.select("u", F.col("m").alias("v")))
 
 
+def _summary(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).cast("string")).first())
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Rows (node, component): the smallest node reachable from each node that has an edge.
 
     Edges are undirected, of any type that has an order; nulls, loops and repeats are ignored; no edges give no rows. Every round
-    is checkpointed to the shared folder, so a lost executor costs one round at most. Minima are
+    is a table in the shared folder, so a lost executor costs one round at most, and is deleted once the next is there. Minima are
     pre-aggregated before each shuffle and a hub is a sort-merge join key that adaptive execution splits.
     """
-    now = cut(
+    now = Stored(
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
         .where(f"{src} is not null and {dst} is not null and u > v")
-        .distinct()
+        .distinct(),
+        "edges",
     )
-    while True:
-        after = cut(_small_star(_large_star(now).distinct()).distinct())
-        before_sum, after_sum = (
-            x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).cast("string")).first() for x in (now, after)
-        )
-        now = after
-        if tuple(before_sum) == tuple(after_sum):
+    known = _summary(now.df)
+    while known[0]:
+        after = Stored(_small_star(_large_star(now.df).distinct()).distinct(), "edges")
+        now.drop()
+        before, known, now = known, _summary(after.df), after
+        if before == known:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return now.df.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+        now.df.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

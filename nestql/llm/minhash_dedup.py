@@ -152,7 +152,8 @@ def near_duplicates(
 
     sized = families.join(usable.groupBy("id").agg(F.max("n_shingles").alias("n")), "id")
     blocks = sized.groupBy("family").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("n_blocks")
+        # never more blocks than members
+        F.least(F.count("*"), F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES))).cast("int").alias("n_blocks")
     )
     members = families.join(blocks, "family").select("id", "family", "n_blocks", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int").alias("block"))
     cells = (
