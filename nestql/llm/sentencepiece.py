@@ -34,7 +34,7 @@ META = "▁"
 MASK_CHARS = 60
 MAX_FREQUENT = 100_000
 #: Different chunks that a task counts before it passes them on, and most pieces that are sent to every task for the join.
-MAX_COUNTED, MAX_JOINED = 200_000, 500_000
+MAX_COUNTED, MAX_JOINED = 100_000, 500_000
 
 
 class Pieces(NamedTuple):
@@ -173,7 +173,7 @@ def _plain(text: str) -> bool:
     return "  " not in text and META not in text and text[:1] != " " and text[-1:] != " "
 
 
-def _slices(texts: pa.Array, limit: int = 1 << 21):
+def _slices(texts: pa.Array, limit: int = 1 << 20):
     """Ranges of consecutive texts of about `limit` bytes together."""
     sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
     begin, size = 0, 0
@@ -351,27 +351,32 @@ class PairTable:
 
     NONE = np.int32(2**31 - 1)
 
-    def __init__(self, model: Pieces):
+    @staticmethod
+    def arrays(model: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What a table is made of: the symbols' ids, the characters' symbols, and rows (left, right, rank, made); small, to be sent to tasks."""
         texts = list(model.piece)
         number = {t: i for i, t in enumerate(texts)}
         for c in sorted({c for t in texts for c in t}):
             number.setdefault(c, len(number))
-        self.ids = np.full(len(number), -1, np.int32)
-        self.ids[: len(texts)] = [i for _, i in model.piece.values()]
-        self.symbol = np.full(0x110000, -1, np.int32)
-        for t, i in number.items():
-            if len(t) == 1:
-                self.symbol[ord(t)] = i
+        ids = np.full(len(number), -1, np.int32)
+        ids[: len(texts)] = [i for _, i in model.piece.values()]
+        single = {ord(t): i for t, i in number.items() if len(t) == 1}
+        symbol = np.full(max(single, default=0) + 2, -1, np.int32)  # the last one stands for all further characters
+        symbol[list(single)] = list(single.values())
         ranks = {x: i for i, x in enumerate(sorted({x for x, _ in model.piece.values()}, reverse=True))}
         pairs = [
             (number[t[:k]], number[t[k:]], ranks[x], number[t]) for t, (x, _) in model.piece.items() for k in range(1, len(t)) if t[:k] in number and t[k:] in number
         ]
-        left, right, rank, made = np.array(pairs, np.int64).reshape(-1, 4).T
-        self.width = np.int64(len(number))
-        self.mask = np.int64((1 << max(4, int(4 * len(pairs)).bit_length())) - 1)
+        return ids, symbol, np.array(pairs, np.int32).reshape(-1, 4)
+
+    def __init__(self, ids: np.ndarray, symbol: np.ndarray, pairs: np.ndarray):
+        self.ids, self.symbol = ids, symbol
+        rank, made = pairs[:, 2], pairs[:, 3]
+        self.width = np.int64(len(ids))
+        self.mask = np.int64((1 << max(4, int(2 * len(pairs)).bit_length())) - 1)
         # one more slot than keys have, for no pair
         self.keys, self.rank, self.made = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 2, self.NONE, np.int32), np.zeros(self.mask + 2, np.int32)
-        key = left * self.width + right
+        key = pairs[:, 0].astype(np.int64) * self.width + pairs[:, 1]
         at = self._slot(key)
         while len(key):
             free = np.flatnonzero(self.keys[at] < 0)
@@ -413,7 +418,7 @@ class PairTable:
     def _fold(self, words, rows, n, prefix, out):
         codes = np.frombuffer("".join([prefix + words[i] for i in rows.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
         n += len(prefix)
-        now = self.symbol[codes].reshape(-1, n)
+        now = self.symbol[np.minimum(codes, len(self.symbol) - 1)].reshape(-1, n)
         plain = (now >= 0).all(1)
         now, rows = now[plain], rows[plain]
         cost = self.rank[self.pairs(now[:, :-1].ravel(), now[:, 1:].ravel())].reshape(len(rows), n - 1)
@@ -455,11 +460,11 @@ class Encoder:
     is the join of its words' or chunks' ids. `lost` are those whose ids do not decode to them.
     """
 
-    def __init__(self, model: Pieces, known: dict[str, bytes], limit: int = 200_000):
+    def __init__(self, model: Pieces, known: dict[str, bytes], limit: int = 200_000, table: PairTable | None = None):
         self.model, self.known, self.limit = model, known, limit
         self.bytes_of = _byte_table(model)
         self.sizes = np.array(list(map(len, self.bytes_of)), np.int64)
-        self.table = PairTable(model) if model.kind == "bpe" else None
+        self.table = table
         self.special = re.compile(f"[{META}{model.lone}]").search
         self.known_words = {c[1:]: ids for c, ids in known.items() if c[0] == META and len(c) > 1 and not self.special(c[1:])}
         self.known_lost = self._not_decoded(list(known), list(known.values()))
@@ -557,13 +562,16 @@ def encode(docs: DataFrame, model: Pieces, text_col: str = "text", ids_col: str
     kept = [c for c in docs.columns if c.lower() not in lowered]
     spark: SparkSession = docs.sparkSession
     # plain values, since executors may not have the package
-    shared = spark.sparkContext.broadcast((tuple(model), codebook(docs, model, text_col, max_frequent)))
+    arrays = PairTable.arrays(model) if model.kind == "bpe" else None
+    shared = spark.sparkContext.broadcast({"model": tuple(model), "known": codebook(docs, model, text_col, max_frequent), "pairs": arrays})
     plain = docs.select(*[F.col(f"`{c}`") for c in kept])
     at = kept.index(text_col)
 
     def run(batches):
-        parts, known = shared.value
-        encoder = Encoder(Pieces(*parts), known)
+        held = shared.value
+        if "encoder" not in held:  # once in each worker process, which keeps what is broadcast
+            held["encoder"] = Encoder(Pieces(*held["model"]), held["known"], table=PairTable(*held["pairs"]) if held["pairs"] else None)
+        encoder = held["encoder"]
         for batch in batches:
             texts = batch.column(at).cast(pa.string())
             for lo, hi in _slices(texts):

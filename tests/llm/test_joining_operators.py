@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from nestql.llm import minhash_dedup, sentencepiece, url_filter
+from nestql.llm import embedding_dedup, minhash_dedup, sentencepiece, url_filter
 from nestql.llm.components import connected_components
 from nestql.llm.embedding_dedup import embedding_links
 from nestql.llm.shingles import shingle_sets
@@ -144,6 +144,32 @@ def test_embedding_links_equal_brute_force(spark, cell_rows, block_rows):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (degree[i], want[i], want[i] == i) for i in want}
 
 
+def test_embedding_large_and_small_vectors(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1.0, 0.0]), (3, [1e-200, 1e-201]), (4, [0.0, -1e308]), (5, [-0.0, -3.0]), (6, [float("inf"), 0.0]), (7, [5e-324, 0.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_links(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (3, 1)}
+
+
+def test_embedding_cells_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "COPY_COST", 0)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 60)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(25, 8))
+    v = centres[rng.integers(25, size=900)] + 0.16 * rng.normal(size=(900, 8))
+    v[::9] = v[1::9]
+    df = spark.createDataFrame([(i, x.tolist(), int(i % 5 == 0)) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    seen = []
+    monkeypatch.setattr(embedding_dedup, "_cells_worth", lambda *a, f=embedding_dedup._cells_worth: seen.append(f(*a)) or seen[-1])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_links(df, cell_rows=20, block_rows=60).collect()}
+    assert max(seen) > 4
+    u = v / np.sqrt((v * v).sum(1))[:, None]
+    linked = (u @ u.T >= 0.93) & np.equal.outer(np.arange(900) % 5 == 0, np.arange(900) % 5 == 0)
+    np.fill_diagonal(linked, False)
+    want = groups(range(900), zip(*map(np.ndarray.tolist, np.nonzero(linked)), strict=True))
+    assert got == {i: (int(linked[i].sum()), want[i]) for i in range(900)}
+
+
 def test_embedding_edge_tables(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (2, [2.0, 0.0], 1)], "vec_id long, embedding array<float>, label int")
     got = embedding_links(df).collect()
@@ -182,6 +208,26 @@ def test_url_rules(spark):
     assert url_filter.url_verdicts(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("url", "html", "want"),
+    [
+        ("http://a.net/x/y", '<link rel="canonical" href="../c">', ["http://a.net/c"]),
+        ("http://a.net:80/x", "<link rel=canonical href=/q?a=1&amp;b=2><link rel=canonical href=/r>", ["http://a.net/q?a=1&b=2", "http://a.net/r"]),
+        ("http://a.net/x", '<!-- <link rel="canonical" href="/no"> --><link href="&#47;caf&#xe9;&#x1F600;" rel="alternate canonical">', ["http://a.net/café😀"]),
+        ("http://a.net/x", '<base href="http://b.net:80/d/"><link rel=canonical href="./e/../f">', ["http://b.net/d/f"]),
+        ("http://a.net/x", """<script>"<link rel=canonical href=/no>"</script><meta http-equiv="refresh" content="0; URL='https://c.net:443'">""", ["https://c.net/"]),
+        ("http://a.net/x", "<link rel=canonical href=mailto:x><link rel=canonical href='#f'><link rel=stylesheet href=/css>", []),
+        ("http://a.net/x", "<link rel=canonical href=http://a.net/x#me>", []),
+        ("http://a.net/" + "p/" * 20_000 + "x", "<link rel=canonical href=..>", ["http://a.net/" + "p/" * 19_999]),
+        (None, "<link rel=canonical href=/c>", []),
+        ("no scheme", "<link rel=canonical href=/c>", []),
+    ],
+)
+def test_url_links_are_resolved(spark, url, html, want):
+    got = url_filter.page_links(spark.createDataFrame([(1, url, html)], "page_id long, url string, html string")).collect()
+    assert sorted(r.dst for r in got) == sorted(want)
+
+
 def test_url_aliases_share_blocks_but_not_with_allowed_pages(spark):
     pages = [
         (1, "http://x.net/a", page("http://x.com/de/blocked")),
@@ -219,7 +265,7 @@ def test_pieces_equal_the_library_and_decode(spark):
     model, texts = sentencepiece.Pieces.read(MODEL), odd_texts()
     want = library.SentencePieceProcessor(model_file=MODEL).encode(texts)
     for limit in (200_000, 3):
-        encoder = sentencepiece.Encoder(model, {}, limit)
+        encoder = sentencepiece.Encoder(model, {}, limit, sentencepiece.PairTable(*sentencepiece.PairTable.arrays(model)))
         assert [np.frombuffer(i, np.int32).tolist() for i in encoder.encode(texts)[0]] == want
         assert [np.frombuffer(encoder.encode([t])[0][0], np.int32).tolist() for t in texts] == want
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate([*texts, None])], "doc_id long, text string, Ids string, ROUND_TRIP int")
@@ -284,7 +330,7 @@ def test_round_trip_is_judged_without_byte_pieces():
 @needs_model
 def test_folding_many_words_equals_folding_each():
     model = sentencepiece.Pieces.read(MODEL)
-    table = sentencepiece.PairTable(model)
+    table = sentencepiece.PairTable(*sentencepiece.PairTable.arrays(model))
     rng = random.Random(8)
     words = ["▁" + "".join(rng.choice("etaoinshrdlu▁ABCéñß019.,'-_😀") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     got = table.fold([*words, "", "x" * 100])

@@ -1,8 +1,11 @@
 """Operators that treat rows one by one: HTML, chat, license, quality, language, decontamination."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import time
 
 import pytest
@@ -186,6 +189,35 @@ def test_chat_digests(spark):
 # License --------------------------------------------------------------------------------------------------
 
 
+def test_license_scan_finds_quotes_with_long_insertions():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    noise = [f"noise{i}" for i in range(60)]
+    for name in ("MIT", "Apache-2.0", "GPL-3.0-or-later", "BSD-2-Clause", "Zlib"):
+        if name not in license_scan.TEMPLATES:
+            continue
+        words = license_scan.TEMPLATES[name].split()
+        n = len(words)
+        for cuts in ([n // 2], [n // 3, 2 * n // 3]):
+            parts, before = [], 0
+            for c in [*cuts, n]:
+                parts += words[before:c] + (noise[: 20 + len(parts) % 20] if c < n else [])
+                before = c
+            text = "é " + " ".join(["lead"] * 7 + parts + ["tail"] * 5)
+            found = [m for m in license_scan.scan([text.encode()], index)[0] if m["license"] == name]
+            assert len(found) == 1 and found[0]["coverage"] >= 0.97, (name, cuts, found)
+            quoted = text.encode()[found[0]["start"] : found[0]["end"]].decode().split()
+            assert quoted[0] == words[0] and quoted[-1].strip(".,'\"") == words[-1].strip(".,'\"")
+    half = " ".join(license_scan.TEMPLATES["MIT"].split()[:60] + noise * 8)
+    assert not [m for m in license_scan.scan([half.encode()], index)[0] if m["license"] == "MIT"]
+
+
+def test_license_offsets_in_long_texts_with_many_matches(spark):
+    line = license_scan.TEMPLATES["MIT-line"]
+    text = "".join(f"ünïcode {i} {line} " for i in range(3000))
+    (row,) = license_scan.license_matches(docs(spark, [(1, text, None)])).collect()
+    assert row.n_matches == 3000 and {text[m.start : m.end] for m in row.matches} == {line.rstrip(".")}
+
+
 def test_license_scan_finds_whole_and_altered_templates():
     index = license_scan.Index(license_scan.TEMPLATES)
     mit = license_scan.TEMPLATES["MIT"]
@@ -310,6 +342,34 @@ def model(spark):
     return language_id.fit(docs(spark, [*rows, (None, "and", "xx"), (900, None, "yy"), (901, "text", None)]))
 
 
+def test_language_scripts_and_letters(spark):
+    rng = random.Random(12)
+    latin = "the green house with river and field stone water under old".split()
+    cyrillic = "дом река поле камень вода под старый зелёный мост лес".split()
+    rows = [(i, " ".join(rng.choice(latin if i % 2 else cyrillic) for _ in range(30)), "en" if i % 2 else "ru") for i in range(40)]
+    model = language_id.fit(docs(spark, rows))
+    text = "the green house дом and river with house"
+    spans = [(text[a:b], k) for a, b, k in language_id.language_spans(text, model)]
+    assert spans == [("the green house", "en"), ("дом", "ru"), ("and river with house", "en")]
+    # letters by category: presentation forms, an extension of Han, mathematical letters, iteration marks
+    letters = ["ﻼ ﺎ", "\U00030000", "𝐀𝐁", "ℂℕ", "々々", "ª", "א"]
+    none = ["١٢٣", "।", "12 34", "× ÷", "😀", "…", ""]
+    got = {r.doc_id: r.lang_pred for r in language_id.languages(docs(spark, [(i, t, None) for i, t in enumerate(letters + none)]), model).collect()}
+    assert all(got[i] in ("en", "ru") for i in range(len(letters))) and {got[i] for i in range(len(letters), len(got))} == {"und"}
+
+
+def test_language_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "COUNTED_AT_ONCE", 2)
+    words = {f"l{k}": f"{chr(97 + k) * 3}{chr(98 + k) * 2} {chr(99 + k) * 4}" for k in range(7)}
+    rows = [(i, f"{words[f'l{i % 7}']} " * 5, f"l{i % 7}") for i in range(140)]
+    model = language_id.fit(docs(spark, rows).coalesce(1))
+    assert len(model.langs) == 7
+    assert all(r.lang_pred == f"l{r.doc_id % 7}" for r in language_id.languages(docs(spark, rows), model).collect())
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 6)
+    with pytest.raises(ValueError, match="languages"):
+        language_id.fit(docs(spark, rows))
+
+
 def test_language_held_out(spark, model):
     rng = random.Random(3)
     assert model.langs == ["de", "en", "ru"]
@@ -388,7 +448,7 @@ def brute(text, items, window=13):
 def test_decontamination_equals_brute_force(spark, shard_bytes):
     rng = random.Random(6)
     vocabulary = ["Ab", "c", "dé", "9", "ÉX"]
-    items = [(str(i), " ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 3, 13, 16])))) for i in range(12)]
+    items = [(str(i), " ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 3, 7, 13, 16, 27, 40])))) for i in range(24)]
     items += [("3", "repeated id c c c Ab"), (None, "a null id c"), ("n", None), ("99", items[4][1])]
     texts = [None, "", "!!", "Ab  c,dé-9", "x " * 50_000 + "repeated-ID c; C c aB" + " y" * 200]
     texts += [", ".join(rng.choice([*vocabulary, rng.choice(items)[1] or "c"]) for _ in range(rng.randint(1, 40))) for _ in range(40)]
@@ -405,8 +465,40 @@ def test_decontamination_equals_brute_force(spark, shard_bytes):
     assert decontaminate.contamination(table.limit(0), bench).count() == 0
 
 
-def test_decontamination_refuses_more_than_tasks_can_hold(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 1)
-    bench = spark.createDataFrame([("1", "more than eight bytes")], "item_id string, text string")
-    with pytest.raises(ValueError, match="bytes of test text"):
-        decontaminate.contamination(docs(spark, [(1, "x", None)]), bench, shard_bytes=1)
+def test_automaton_equals_windows():
+    rng = random.Random(9)
+    for window in (1, 2, 5, 13):
+        items = [(str(i), " ".join(rng.choice("abc") for _ in range(rng.randint(1, 60)))) for i in range(6)]
+        machine = decontaminate.Automaton(items, window)
+        for _ in range(60):
+            words = []
+            while len(words) < 80:
+                source = rng.choice(items)[1].split()
+                at = rng.randrange(len(source))
+                words += source[at : at + rng.randint(1, 30)] + [rng.choice("abcd")] * rng.randint(0, 1)
+            hit, found = set(), set()
+            for item, text in items:
+                source = text.split()
+                size = min(window, len(source))
+                windows = {tuple(source[i : i + size]) for i in range(len(source) - size + 1)}
+                for i in range(len(words) - size + 1):
+                    if tuple(words[i : i + size]) in windows:
+                        hit.update(range(i, i + size))
+                        found.add(item)
+            spans, names = machine.scan([w.encode() for w in words])
+            assert names == found and {i for a, b in spans for i in range(a, b)} == hit
+
+
+def test_automaton_memory_grows_with_words_and_not_with_windows():
+    code = """if True:
+        import random, resource, sys
+        from nestql.llm.decontaminate import Automaton
+        rng = random.Random(1)
+        words = ["w%d" % i for i in range(20000)]
+        items = [(str(i), " ".join(rng.choice(words) for _ in range(200))) for i in range(1000)]
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        machine = Automaton(items, 13)
+        print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 / sum(len(t) for _, t in items))
+    """
+    out = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), capture_output=True, text=True, check=True)
+    assert float(out.stdout) < 40
