@@ -1,7 +1,8 @@
 """Compiles a request to DataFrame operations.
 
 Standard mode folds arrays inside each record with higher-order functions and then aggregates the records
-once, so a record is never multiplied and partial aggregation runs before the only shuffle. Grouping by a
+once, so a record is never multiplied and partial aggregation runs before the only shuffle; where all that is asked for
+are sums, counts and extremes of one array's elements, these are exploded and aggregated as they are. Grouping by a
 field inside an array instead explodes that array, keeping records whose array is empty. Only the element
 fields that a request names are read: arrays are narrowed to them before any lambda sees an element,
 since the scan prunes fields it can name but not through lambdas.
@@ -52,6 +53,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def _passing(array: Column, test) -> Column:
+    """The elements that pass a test of _element_test."""
+    return F.filter(array, lambda e: test(lambda f: walk(e, f)))
+
+
 def _place(order: list[Column], id_type: T.DataType) -> Column:
     """The order of an exploded row: the record's, then the positions in the arrays, -1 where an array is empty.
 
@@ -192,7 +198,7 @@ class Plan:
         own = resolve(element, path.removeprefix(f"{outer}.")).kind.elementType
         test, _ = self._element_test(path, own)
         if test is not None:
-            array = F.filter(array, lambda e: test(lambda f: walk(e, f)))
+            array = _passing(array, test)
         rel = p.steps[depth + 1]
         if depth == len(p.arrays) - 1:
             if p.kind is None:  # no element has such a field
@@ -250,7 +256,61 @@ class Plan:
             out = both.agg(*[F.max(n).alias(n) for n in names], F.max("__n").alias("__n"))
         return out.where(F.col("__n") > 0).drop("__n")
 
+    def _plain_elements(self) -> tuple[str, ...] | None:
+        """The arrays around all aggregated fields, if these are the same and elements can be aggregated as they are: then no
+        record needs a result of its own. Averages over arrays in arrays are of records, and last-n operations have zeros for records."""
+        chains = {tuple(self.paths[a.field].arrays) for a in self.request.aggregations}
+        if len(chains) != 1 or not (chain := chains.pop()):
+            return None
+        for a in self.request.aggregations:
+            weighted = len(chain) == 1 or self.options.nested_avg == "weighted"
+            if a.op not in ("sum", "count", "count_rows", "min", "max") and not (a.op == "avg" and weighted):
+                return None
+        return chain
+
+    def _element_mode(self, rows: DataFrame, chain: tuple[str, ...]) -> DataFrame:
+        """Explode the arrays and aggregate their elements, which generated code does faster than higher-order functions fold them."""
+        outer = chain[0]
+        keys = self._keys([shown(walk(None, p.steps[0]), p.kind) if p.kind is not None else F.lit(None).cast("string") for p in self.group])
+        deep = len(chain) > 1
+        element = resolve(self.schema, outer).kind.elementType
+        fields = []
+        for a in self.request.aggregations:
+            p, date = self.paths[a.field], self._dated(a, deep)
+            if deep or p.kind is not None:
+                fields.append(p.steps[1])
+            if not deep and date and resolve(element, ".".join(date)).kind is not None:
+                fields.append(date)
+        array, names = self._elements(outer, fields)
+        named = {f"__key{i}": c for i, c in enumerate(keys.values())}
+        rows = rows.select(ROW_ID, *[c.alias(n) for n, c in named.items()], F.posexplode_outer(array).alias("__pos", "__element"))
+        for depth, path in enumerate(chain[1:], 1):
+            field = self.paths[self.request.aggregations[0].field].steps[depth]
+            inner = F.col("__element")[names[field]] if depth == 1 else walk(F.col("__element"), field)
+            element = resolve(element, ".".join(field)).kind.elementType
+            test, _ = self._element_test(path, element)
+            if test is not None:
+                inner = _passing(inner, test)
+            rows = rows.select(ROW_ID, *named, F.posexplode_outer(inner).alias("__pos", "__element"))
+
+        def get(field: tuple[str, ...]) -> Column:
+            return walk(F.col("__element"), field) if deep else F.col("__element")[names[field]]
+
+        values: dict[str, Column] = {}
+        for a in self.request.aggregations:
+            p, date = self.paths[a.field], self._dated(a, deep)
+            value, kind = leaf(get(p.steps[-1]), p.kind) if p.kind is not None else (F.lit(None).cast("double"), None)
+            there = F.col("__pos").isNotNull() if p.kind is not None else F.lit(False)
+            if date and (dated := resolve(element, ".".join(date)).kind) is not None:
+                there &= self._in_window(a, get(date), dated)
+            item = F.when(there, ops.contribution(a, value, kind, self.today, element=True))
+            values[a.name] = ops.finish(a.op, ops.fold_group(ops.merge_of(a.op), item))
+        return self._aggregate(rows, {k: F.col(n) for k, n in zip(keys, named, strict=True)}, values, F.min(ROW_ID))
+
     def _standard_mode(self, rows: DataFrame) -> DataFrame:
+        chain = self._plain_elements()
+        if chain is not None:
+            return self._element_mode(rows, chain)
         needed: dict[str, list[tuple[str, ...]]] = {}
         for a in self.request.aggregations:
             p = self.paths[a.field]
@@ -315,7 +375,7 @@ class Plan:
             element = resolve(element, ".".join(field)).kind.elementType
             test, _ = self._element_test(path, element)
             if test is not None:
-                inner = F.filter(inner, lambda e, test=test: test(lambda f: walk(e, f)))
+                inner = _passing(inner, test)
             rows = rows.select("*", F.posexplode_outer(inner).alias(f"__pos{depth}", f"__element{depth}"))
             order.append(F.coalesce(f"__pos{depth}", F.lit(-1)))
 

@@ -398,6 +398,18 @@ _add(
     f"""SELECT o_orderpriority AS orders_o_orderpriority, l_returnflag AS orders_lines_l_returnflag, {_dbl("coalesce(sum(l_quantity), 0)")} AS qty, {_dbl("count(l_linenumber)")} AS n
     FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2""",
 )
+_add(
+    "explode_nested_filter",
+    "cust_orders_lines",
+    {
+        "groupBy": ["orders.o_orderpriority", "orders.lines.l_returnflag"],
+        "localFilter": {"orders.lines": {"l_quantity": {"$gt": 45}}},
+        "aggregations": [agg("orders.lines.l_quantity", "sum", "qty"), agg("orders.lines.l_linenumber", "count", "n")],
+    },
+    f"""SELECT o_orderpriority AS orders_o_orderpriority, l_returnflag AS orders_lines_l_returnflag, {_dbl("coalesce(sum(l_quantity), 0)")} AS qty, {_dbl("count(l_linenumber)")} AS n
+    FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_quantity > 45 GROUP BY 1, 2""",
+    Options(nested_filter=True),
+)
 
 # Shapes of requests
 _add(
