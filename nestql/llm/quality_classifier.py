@@ -136,7 +136,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def quality_scores(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """One row (id, held_out, score, predicted) for each row of docs; null texts score as empty ones."""
+    """One row (id, held_out, score, predicted) for each row of docs.
+
+    Null texts score as empty ones, and those score by the bias alone. Rows are scored one by one, whole, so repeats
+    stay repeats; a null id counts as held out; other columns, labels among them, are ignored.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -15,8 +15,22 @@ from .embedding_dedup import embedding_links
 from .minhash_dedup import near_duplicates
 from .sql import ORACLES
 
-#: Where the driver finds a SentencePiece model; executors get its pieces from the driver.
-PIECE_MODEL = os.environ.get("NESTQL_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def _piece_model() -> str | None:
+    """Where the driver finds a SentencePiece model: named by the environment, else one of the package of public tokenizers, if that is there."""
+    named = os.environ.get("NESTQL_PIECE_MODEL")
+    if named:
+        return named
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:
+        return None
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+#: Executors get its pieces from the driver.
+PIECE_MODEL = _piece_model()
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,10 +50,13 @@ class Pieces(NamedTuple):
     lone: str = ""  # white space that is in no piece, so that no piece reaches across it
 
     @staticmethod
-    def read(path: str) -> Pieces:
+    def read(path: str | None) -> Pieces:
         """From a .model file; the file must be readable on the driver only."""
         import sentencepiece
 
+        if not path:
+            raise ValueError("no SentencePiece model: name its file in NESTQL_PIECE_MODEL")
+
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         piece, text, at_byte = {}, [], {}
         for i in range(m.get_piece_size()):

@@ -64,3 +64,14 @@ def test_pipeline_keeps_what_each_operator_keeps(spark):
 def test_pipeline_reads_its_stages_from_parquet(spark):
     files = corpus_pipeline.run(spark, SF).inputFiles()
     assert files and all("/decontamination-" in f and f.endswith(".parquet") for f in files)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_quality_of_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in table(spark, sf, "labels").collect() if r.quality is not None}
+    rows = [(r.score, r.predicted, labels[r.doc_id]) for r in queries()["op7_quality_classifier"](spark, sf).collect() if r.held_out and r.doc_id in labels]
+    good, bad = [s for s, _, y in rows if y], [s for s, _, y in rows if not y]
+    assert len(good) > 10 and len(bad) > 10
+    assert sum(p == y for _, p, y in rows) >= 0.95 * len(rows)
+    assert sum(g > b for g in good for b in bad) >= 0.98 * len(good) * len(bad)
