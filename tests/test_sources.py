@@ -8,6 +8,7 @@ import urllib.request
 import pytest
 
 from nestql.catalog import Catalog, result_rows
+from nestql.plans.planner import Options
 from nestql.server import serve
 from nestql.sources.config import Config, load_config, parse_config
 from nestql.sources.xml import coerce, parse_xml, parse_xml_many
@@ -176,3 +177,63 @@ def test_stream(spark, tmp_path):
         assert sorted(map(tuple, spark.table(name).collect()), key=str) == sorted(want, key=str)
     with pytest.raises(ValueError, match="not a stream"):
         aggregate_stream(spark.range(1).toDF("id"), {"aggregations": [agg("id", "sum")]})
+
+
+def test_json_lines_and_mixed_files(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"v": 1, "x": {"w": 2}}\n{"v": 4, "x": [{"w": 3}, {"w": 5}]}\n\n')
+    (tmp_path / "b.json").write_text('[{"x": {"w": 7}}, 5, {"x": [{"w": 1}]}, {"y": null}]')
+    c = Catalog(spark)
+    c.register_json("plain", str(tmp_path / "a.jsonl"), is_path=True)
+    assert result_rows(c.aggregate({"dataset": "plain", "aggregations": [agg("v", "sum", "s")]})) == [{"s": 5.0}]
+    for name, want in (("a.jsonl", (10.0, 3.0)), ("b.json", (8.0, 2.0))):
+        c.register_json("m", str(tmp_path / name), is_path=True, mixed=True)
+        got = result_rows(c.aggregate({"dataset": "m", "aggregations": [agg("x.w", "sum", "s"), agg("x.w", "count", "n")]}))
+        assert got == [{"s": want[0], "n": want[1]}]
+
+
+def test_xml_files_are_read_by_element(spark, tmp_path):
+    head = '<?xml version="1.0"?><fleet xmlns:k="urn:keel"><boats>'
+    boats = "".join(f'<boat k:no="{i}"><crew>{i % 3}</crew>' + "<oar>1</oar>" * (i % 4) + "</boat>\n" for i in range(40))
+    (tmp_path / "fleet.xml").write_text(head + boats + '<boat k:no="40"/></boats><boater>9</boater></fleet>')
+    c = Catalog(spark)
+    c.register_xml("f", str(tmp_path / "fleet.xml"), row_tag="boat")
+    request = [agg("crew", "sum", "crew"), agg("@no", "max", "last"), agg("@no", "count", "n")]
+    assert result_rows(c.aggregate({"dataset": "f", "aggregations": request})) == [{"crew": 39.0, "last": 40.0, "n": 41.0}]
+
+
+def test_datasets_are_views(spark):
+    c = Catalog(spark)
+    c.register_json("plums", [{"v": 2}, {"v": 3}])
+    assert spark.sql("SELECT sum(v) AS s FROM plums").first().s == 5 and spark.table("plums").columns == ["v"]
+    c.register_json("not a name", [{"v": 2}])
+    c.register_json("plums", [{"v": 9}])
+    assert spark.sql("SELECT sum(v) AS s FROM plums").first().s == 9
+    with pytest.raises(ValueError, match="ordered"):
+        c.register_dynamic("d", [{"v": 1}])
+        c.aggregate({"dataset": "d", "aggregations": [agg("v", "sum", "s")]}, options=Options(nested_filter=True))
+
+
+def plan_of(df):
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+def test_plans_have_no_nested_loops_nor_sorted_aggregates(spark):
+    c = Catalog(spark)
+    c.register_json("p", [{"g": "a", "v": 1, "x": [{"k": "u", "w": 2}]}, {"g": "b", "v": 3, "x": []}])
+    for request in (
+        {"where": {"v": {"$gt": 2}}, "aggregations": [agg("v", "sum", "s"), agg("x.w", "avg", "m")]},
+        {"groupBy": ["g", "x.k"], "aggregations": [agg("x.w", "sum", "s"), agg("v", "sum", "p")]},
+    ):
+        for options in (Options(), Options(parent_dedup="record")):
+            plan = plan_of(c.aggregate({"dataset": "p", **request}, options=options))
+            assert "NestedLoop" not in plan and "CartesianProduct" not in plan and "SortAggregate" not in plan
+
+
+def test_global_aggregates_of_nothing(spark):
+    c = Catalog(spark)
+    c.register_json("p", [{"v": 1}, {"v": 3}])
+    none = {"where": {"v": {"$gt": 9}}, "aggregations": [agg("v", "sum", "s"), agg("v", "max", "m")]}
+    assert result_rows(c.aggregate({"dataset": "p", **none})) == [{"s": 0.0, "m": None}]
+    c.register_df("q", spark.createDataFrame([], "v double"))
+    assert result_rows(c.aggregate({"dataset": "q", **none})) == []
+    assert result_rows(c.aggregate({"dataset": "q", "aggregations": none["aggregations"]})) == []
