@@ -55,7 +55,8 @@ class Features:
         total, count = 0.0, 0
         for run, (a, b) in zip(self.runs, self.bounds, strict=True):
             prefix = np.concatenate(([0.0], np.cumsum(weight[run], dtype=np.float64)))
-            total = total + prefix[b] - prefix[a]
+            last = len(run)  # a text without features at the end may begin beyond the last one
+            total = total + prefix[np.minimum(b, last)] - prefix[np.minimum(a, last)]
             count = count + (b - a)
         return total, count
 
@@ -104,8 +105,9 @@ def score_texts(texts: list[bytes], weight: np.ndarray, bias: float) -> np.ndarr
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = 2000):
     """Train on at most max_train labelled texts that are not held out; returns (weight, bias).
 
-    Null labels and ids are not used; an id labelled twice takes its smaller label, an id with several
-    texts its smallest text. Without any usable row the model scores every text 0.5.
+    Null labels and ids and null texts are not used; an id labelled twice takes its smaller label, an id with several
+    texts its smallest text, so repeated rows change nothing; other columns are ignored. Without any usable row the model
+    scores every text 0.5.
     """
     sample = (
         labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))

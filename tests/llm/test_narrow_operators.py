@@ -502,3 +502,14 @@ def test_automaton_memory_grows_with_words_and_not_with_windows():
     """
     out = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), capture_output=True, text=True, check=True)
     assert float(out.stdout) < 40
+
+
+def test_quality_scores_do_not_depend_on_the_batch():
+    rng = random.Random(2)
+    weight = quality_classifier.np.random.default_rng(1).normal(size=quality_classifier.BUCKETS).astype("float32")
+    texts = ["", " ", "a", "ab", "abc", "abcd", "a b", "", "one two three", "é", "\n\n", ""]
+    alone = [quality_classifier.score_texts([t.encode()], weight, 0.3)[0] for t in texts]
+    for _ in range(50):
+        order = rng.sample(range(len(texts)), rng.randint(1, len(texts)))
+        got = quality_classifier.score_texts([texts[i].encode() for i in order], weight, 0.3)
+        assert [round(float(x), 9) for x in got] == [round(float(alone[i]), 9) for i in order]
