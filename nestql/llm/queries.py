@@ -34,10 +34,12 @@ PIECE_MODEL = _piece_model()
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every row of pages, repeated rows and null pages (an empty text) included; other columns are ignored."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, and of conversation -7, read back from its formatted turns. Null texts and roles are empty; repeated turns stay; other columns are ignored."""
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame(
         pa.table({"conv_id": pa.array([-7, -7]), "turn": pa.array([0, 1]), "role": pa.array(["user", "assistant"]), "text": pa.array([said, said])})
@@ -47,6 +49,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document's text and whether they decode to it. Null and empty texts have no ids; repeated rows stay repeats; other columns are ignored."""
     model = sentencepiece.Pieces.read(PIECE_MODEL)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = sentencepiece.encode(docs, model, check_col="round_trip")
@@ -54,28 +57,34 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document's text. Null and empty texts match nothing; repeated rows stay repeats; other columns are ignored."""
     return license_scan.license_matches(table(spark, sf_dir, "documents"))
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every document. Null and empty texts link with nothing; rows that repeat an id are one node; other columns are ignored."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url. A null url is allowed, a null page has no links; repeated rows stay repeats; other columns are ignored."""
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learnt from labels that are not held out. Null texts score as empty ones; repeated rows stay repeats; other columns are ignored."""
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.quality_scores(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from rows that are not held out. Null texts are `und`; repeated rows stay repeats and are learnt from as often; other columns are ignored."""
     docs = table(spark, sf_dir, "documents")
     return language_id.languages(docs, language_id.fit(docs))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document holds of the benchmark. Null and empty texts have no words; repeated rows and items count alike; other columns are ignored."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
@@ -88,6 +97,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links and group of every vector. Null, zero and non-finite vectors and null labels link with nothing; rows that repeat an id are one node; other columns are ignored."""
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 

@@ -75,3 +75,24 @@ def test_quality_of_held_out_documents(spark):
     assert len(good) > 10 and len(bad) > 10
     assert sum(p == y for _, p, y in rows) >= 0.95 * len(rows)
     assert sum(g > b for g in good for b in bad) >= 0.98 * len(good) * len(bad)
+
+
+ODD = [
+    (1, None, "en", "s", 0), (2, "", "en", "s", 0), (None, "a text without an id", None, None, None), (3, "12 34 !!", None, "s", 8),
+    (4, "word " * 30_000, "en", "s", 150_000), (5, "the same text twice", "en", "s", 19), (5, "the same text twice", "en", "s", 19), (6, "the same text twice", "en", "s", 19),
+]
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_and_empty_tables(spark, stage):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, Ids string, SCORE double, kept_id int, found_items string"
+    rows = [(*r, "x", None, 1, "y") for r in ODD]
+    run = dict(corpus_pipeline.STAGES)[stage]
+    got = run(spark, spark.createDataFrame(rows, schema), SF)
+    kept = [tuple(r) for r in got.select(*[c for c in got.columns if c.lower() not in ("ids", "round_trip")]).collect()]
+    assert {r[:5] for r in kept} <= {r[:5] for r in rows}
+    if stage == "near_dedup":
+        assert sorted(r[0] for r in kept if r[0] is not None) == [1, 2, 3, 4, 5] and None in {r[0] for r in kept}
+    if stage in ("decontamination", "pieces"):
+        assert len(kept) == len(rows)
+    assert run(spark, spark.createDataFrame([], schema), SF).count() == 0
