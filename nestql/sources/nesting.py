@@ -11,12 +11,17 @@ def nest(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str, n
 
     One shuffle of each side by the key; rows of one key meet in one task, as the array that they become does.
     """
+    rows = gather(child, child_key, "__key", name, fields, order)
+    kind = rows.schema[name].dataType
+    return parent.join(rows, parent[parent_key] == F.col("__key"), "left").drop("__key").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+
+
+def gather(child: DataFrame, child_key: str, key: str, name: str, fields: list[str], order: list[Column | str] | None = None) -> DataFrame:
+    """The child rows of each key, null too, as an array `name` in order: every child row is in one array, and no array is empty."""
     sort = [F.col(o) if isinstance(o, str) else o for o in order or []]
     item = F.struct(*[F.col(f) for f in fields])
     keyed = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(sort)], item.alias("item"))
-    rows = child.groupBy(F.col(child_key).alias("__key")).agg(F.transform(F.sort_array(F.collect_list(keyed)), lambda x: x["item"]).alias(name))
-    kind = rows.schema[name].dataType
-    return parent.join(rows, parent[parent_key] == F.col("__key"), "left").drop("__key").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+    return child.groupBy(F.col(child_key).alias(key)).agg(F.transform(F.sort_array(F.collect_list(keyed)), lambda x: x["item"]).alias(name))
 
 
 def _text(column: str) -> Column:
@@ -40,6 +45,11 @@ def cust_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nest(read(spark, sf_dir, "customer"), _orders(spark, sf_dir), "c_custkey", "o_custkey", "orders", _ORDER_FIELDS, ["o_orderkey"])
 
 
+def orders_by_cust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders by their customer's key, whether or not there is such a customer; customers without orders are no records."""
+    return gather(_orders(spark, sf_dir), "o_custkey", "c_custkey", "orders", _ORDER_FIELDS, ["o_orderkey"])
+
+
 def cust_orders_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with their orders, which have their lines."""
     lines = read(spark, sf_dir, "lineitem").withColumn("l_shipdate", _text("l_shipdate"))
