@@ -50,11 +50,19 @@ def orders_by_cust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gather(_orders(spark, sf_dir), "o_custkey", "c_custkey", "orders", _ORDER_FIELDS, ["o_orderkey"])
 
 
+def _orders_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").withColumn("l_shipdate", _text("l_shipdate"))
+    return nest(_orders(spark, sf_dir), lines, "o_orderkey", "l_orderkey", "lines", _LINE_FIELDS, ["l_linenumber"])
+
+
 def cust_orders_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with their orders, which have their lines."""
-    lines = read(spark, sf_dir, "lineitem").withColumn("l_shipdate", _text("l_shipdate"))
-    orders = nest(_orders(spark, sf_dir), lines, "o_orderkey", "l_orderkey", "lines", _LINE_FIELDS, ["l_linenumber"])
-    return nest(read(spark, sf_dir, "customer"), orders, "c_custkey", "o_custkey", "orders", [*_ORDER_FIELDS, "lines"], ["o_orderkey"])
+    return nest(read(spark, sf_dir, "customer"), _orders_lines(spark, sf_dir), "c_custkey", "o_custkey", "orders", [*_ORDER_FIELDS, "lines"], ["o_orderkey"])
+
+
+def orders_lines_by_cust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders with their lines by their customer's key, as in orders_by_cust."""
+    return gather(_orders_lines(spark, sf_dir), "o_custkey", "c_custkey", "orders", [*_ORDER_FIELDS, "lines"], ["o_orderkey"])
 
 
 def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
