@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, WordHashes, chunks_by_size, held_out
 
 BUCKETS = 1 << 16
-CHUNK = 1 << 21
+#: Bytes of text whose words are labelled side by side, and bytes hashed and scored at once, which take some 80 bytes each.
+CHUNK, PART = 1 << 21, 1 << 18
 UNKNOWN = "und"
 #: Most languages that a model can have (half a megabyte each in every task), and most that a task counts before it passes counts on.
 MAX_LANGUAGES, COUNTED_AT_ONCE = 200, 32
@@ -53,7 +54,7 @@ class Words:
     def __init__(self, texts: list[bytes], letters: np.ndarray):
         w = WordHashes([t.translate(LOWER) for t in texts], lower=False)
         data = w.data
-        b = np.concatenate((data, np.zeros(2, np.uint8))).astype(np.uint32)
+        b = np.concatenate((data, np.full(2, 10, np.uint8))).astype(np.uint32)  # a text ends with a line feed, the last one too
         before = np.concatenate(([np.uint32(10)], b[: len(data)]))[: len(data)]
         tri = (before << np.uint32(16)) | (b[: len(data)] << np.uint32(8)) | b[1 : len(data) + 1]
         self.trigram = ((tri * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64)
@@ -125,7 +126,7 @@ def _counter(packed: bytes):
                 if len(sums) >= COUNTED_AT_ONCE and lang not in sums:
                     yield from flush(sums)
                 own = [texts[i] for i in np.flatnonzero(langs == lang)]
-                for i, j in chunks_by_size(own, CHUNK):
+                for i, j in chunks_by_size(own, PART):
                     w = Words(own[i:j], letters)
                     total = sums.setdefault(lang, np.zeros(2 * BUCKETS + len(SCRIPTS), np.int64))
                     inside = np.zeros(len(w.trigram) + 1, np.int64)
@@ -200,20 +201,16 @@ def _viterbi(score: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     return labels
 
 
-def label_words(texts: list[bytes], model: Model, penalty: float = 6.0) -> tuple[Words, np.ndarray, np.ndarray]:
-    """(words, label of each word, score of each word and language).
-
-    A language whose texts have none of a word's scripts is no choice for it; a word in scripts of no language says nothing.
-    """
-    w = Words(texts, model.letters)
+def _scores(w: Words, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(margin, score) of each word and language; margins are what Viterbi adds up."""
     n_lang = len(model.langs)
-    if not len(w.start) or not n_lang:
-        return w, np.zeros(0, np.int64), np.zeros((0, n_lang), np.float32)
     # one language at a time, so that only one number for each byte is held
     score = np.empty((len(w.start), n_lang), np.float32)
     for k in range(n_lang):
         total = np.concatenate(([0.0], np.cumsum(model.trigram[w.trigram, k], dtype=np.float64)))
         score[:, k] = total[w.end] - total[w.start] + model.word[w.word, k]
+    if not score.size:
+        return score, score
     fits = (w.script[:, None] & model.scripts[None, :]) != 0
     some = fits.any(1)
     score[~fits & some[:, None]] = -np.inf
@@ -221,18 +218,35 @@ def label_words(texts: list[bytes], model: Model, penalty: float = 6.0) -> tuple
     # a word counts for 12 at most, but no chain of words makes up for a script
     margin = np.maximum(score - score.max(1, keepdims=True), -12)
     margin[~fits & some[:, None]] = -1e6
-    return w, _viterbi(margin, w.first, penalty), score
+    return margin, score
+
+
+def label_words(texts: list[bytes], model: Model, penalty: float = 6.0) -> tuple[Words, np.ndarray, np.ndarray]:
+    """(words, label of each word, score of each word and language).
+
+    A language whose texts have none of a word's scripts is no choice for it; a word in scripts of no language says nothing.
+    """
+    w = Words(texts, model.letters)
+    margin, score = _scores(w, model)
+    return w, _viterbi(margin, w.first, penalty) if score.size else np.zeros(0, np.int64), score
 
 
 def predict_texts(texts: list[bytes], model: Model, penalty: float = 6.0) -> tuple[list[str], np.ndarray]:
     """The language of most letters' bytes in each text, and that share; UNKNOWN and 0 without a letter."""
     langs, scores = [], []
     for i, j in chunks_by_size(texts, CHUNK):
-        w, labels, _ = label_words(texts[i:j], model, penalty)
+        # hashed part by part, which takes the most room, and labelled together, which takes a step for each word of the longest text
+        first, sizes, margins = [np.zeros(1, np.int64)], [], []
+        for a, b in chunks_by_size(texts[i:j], PART):
+            w = Words(texts[i + a : i + b], model.letters)
+            margins.append(_scores(w, model)[0])
+            sizes.append(w.end - w.start)
+            first.append(w.first[1:] + first[-1][-1])
+        margin, of_text = np.concatenate(margins), np.concatenate(first)
         weight = np.zeros((j - i, max(1, len(model.langs))))
-        owner = np.repeat(np.arange(j - i), np.diff(w.first))
-        if len(labels):
-            np.add.at(weight, (owner, labels), w.end - w.start)
+        if margin.size:
+            owner = np.repeat(np.arange(j - i), np.diff(of_text))
+            np.add.at(weight, (owner, _viterbi(margin, of_text, penalty)), np.concatenate(sizes))
         total, best = weight.sum(1), weight.argmax(1)
         for k in range(j - i):
             langs.append(model.langs[best[k]] if total[k] else UNKNOWN)
@@ -260,7 +274,7 @@ def familiarity(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarra
     Words with a digit, such as keys and tokens, are in no language and do not count.
     """
     sizes, means = [], []
-    for i, j in chunks_by_size(texts, CHUNK):
+    for i, j in chunks_by_size(texts, PART):
         w = Words(texts[i:j], model.letters)
         total = np.concatenate(([0.0], np.cumsum(model.known[w.trigram], dtype=np.float64)))
         data = np.frombuffer(b"\n".join(texts[i:j]), np.uint8)

@@ -22,7 +22,8 @@ from .common import SPACE, WordHashes, chunks_by_size, held_out
 BUCKETS, DIM = 1 << 16, 16
 #: Zero vectors that are averaged with a text's features.
 PRIOR = 40
-CHUNK = 1 << 21
+#: Bytes of text scored at once, which take some 50 bytes each.
+CHUNK = 1 << 18
 
 
 class Features:
